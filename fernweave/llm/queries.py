@@ -3,10 +3,18 @@
 from __future__ import annotations
 
 from .bitpack import op4_packed_ids
+from .mixing import OP6_SQL, op6_mixing
 from .packing import op2_packing
+from .sharding import op5_sharding
+from .simhash import op10_simhash
 
 QUERIES = {
     "op2_packing": op2_packing,
     "op4_packed_ids": op4_packed_ids,
+    "op5_sharding": op5_sharding,
+    "op6_mixing": op6_mixing,
+    "op10_simhash": op10_simhash,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op6_mixing": OP6_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
