@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, spread, stored, table
+from .common import binary, map_arrow, slices, spread, stored, table
 from .tokens import default_tokenizer, encoder
 
 #: magic, bits an id, ids a block, ids, documents; then, little-endian: block offsets uint64[blocks + 1], doc ids int64[documents],
@@ -114,13 +114,13 @@ def packed_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
             return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, file, len(keys), int(count.sum()))] + [pa.array([data], pa.binary())], names=["part", "file", "n_docs", "n_ids", "data"])
 
         for batch in batches:
-            ids, text = batch.column(0).to_pylist(), batch.column(1)
-            for row in range(0, len(ids), 256):
-                flat, count = code.encode(text.slice(row, 256))
+            ids = batch.column(0).to_pylist()
+            for row, part in slices(binary(batch.column(1)), 4 << 20):
+                flat, count = code.encode(part)
                 with_end = count + 1
                 out = np.full(int(with_end.sum()), end_id, np.uint32)
                 out[spread(np.cumsum(with_end) - with_end, count)] = flat
-                keys += ids[row : row + 256]
+                keys += ids[row : row + len(part)]
                 counts.append(with_end)
                 flats.append(out)
                 held += len(out)

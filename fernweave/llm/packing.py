@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_arrow, ranked, spread, stored, table
+from .common import binary, map_arrow, ranked, slices, spread, stored, table
 from .tokens import default_tokenizer, encoder
 
 LENGTH = 2048
@@ -177,9 +177,9 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
         for batch in batches:
-            for row in range(0, batch.num_rows, 256):
-                part = batch.slice(row, 256)
-                flat, count = code.encode(part.column(1))
+            for row, texts in slices(binary(batch.column(1)), 4 << 20):
+                part = batch.slice(row, len(texts))
+                flat, count = code.encode(texts)
                 n = count + 1
                 ids = np.full(int(n.sum()), end_id, "<u4")
                 ids[spread(np.cumsum(n) - n, count)] = flat
