@@ -5,6 +5,7 @@ from __future__ import annotations
 from .bitpack import op4_packed_ids
 from .mixing import OP6_SQL, op6_mixing
 from .packing import op2_packing
+from .passages import op7_passages
 from .sharding import op5_sharding
 from .simhash import op10_simhash
 
@@ -13,6 +14,7 @@ QUERIES = {
     "op4_packed_ids": op4_packed_ids,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
+    "op7_passages": op7_passages,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {
