@@ -8,9 +8,11 @@ from .packing import op2_packing
 from .passages import op7_passages
 from .sharding import op5_sharding
 from .simhash import op10_simhash
+from .toxicity import op3_toxicity
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_toxicity": op3_toxicity,
     "op4_packed_ids": op4_packed_ids,
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
