@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bitpack import op4_packed_ids
+from .media import op8_media
 from .mixing import OP6_SQL, op6_mixing
 from .packing import op2_packing
 from .passages import op7_passages
@@ -17,6 +18,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_mixing": op6_mixing,
     "op7_passages": op7_passages,
+    "op8_media": op8_media,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {
