@@ -18,7 +18,7 @@ from .common import binary, map_arrow, slices, spread, stored, table
 
 #: Blocks between restart markers; the decoder takes that many steps of 64 symbols, for all intervals of all images of a batch at once.
 INTERVAL = 4
-#: Blocks in a row of an image that holds a payload.
+#: Blocks in a row of an image that holds a payload, at most; rows are as even as they can be, so few blocks are filled up.
 ROW_BLOCKS = 64
 #: The bytes most frequent in UTF-8 prose, most frequent first: they get the smallest coefficients. The others follow in ascending order.
 FREQUENT = b" etanrihosdlu\xc3cpm.gqb,\xa9fvyw\nxkzj\xa8ETAIOSNRDL'-0123456789\xb3\xbc\xa4\xb1\xa1"
@@ -136,10 +136,10 @@ def entropy_code(blocks: np.ndarray, images: np.ndarray, interval: int = INTERVA
 def encode(payloads: list[bytes]) -> list[bytes]:
     """Each payload (a positive multiple of 64 bytes) as a grey baseline JPEG: 64 bytes are the coefficients of a block, in zigzag order."""
     count = np.array([len(p) // 64 for p in payloads])
-    wide = np.minimum(count, ROW_BLOCKS)
-    high = -(-count // wide)
+    high = -(-count // ROW_BLOCKS)
+    wide = -(-count // high)
     data = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 64)
-    blocks = np.full((int((wide * high).sum()), 64), VALUE[0])
+    blocks = np.full((int((wide * high).sum()), 64), VALUE[FREQUENT[0]])
     blocks[spread(np.cumsum(wide * high) - wide * high, count)] = VALUE[data]
     out = []
     for p, w, h, scan in zip(payloads, wide.tolist(), high.tolist(), entropy_code(blocks, wide * high), strict=True):
