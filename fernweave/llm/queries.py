@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bitpack import op4_packed_ids
+from .chat import op9_chat
 from .media import op8_media
 from .mixing import OP6_SQL, op6_mixing
 from .packing import op2_packing
@@ -19,6 +20,7 @@ QUERIES = {
     "op6_mixing": op6_mixing,
     "op7_passages": op7_passages,
     "op8_media": op8_media,
+    "op9_chat": op9_chat,
     "op10_simhash": op10_simhash,
 }
 ORACLE_SQL: dict[str, str] = {
