@@ -6,6 +6,7 @@ from .bitpack import op4_packed_ids
 from .chat import op9_chat
 from .media import op8_media
 from .mixing import OP6_SQL, op6_mixing
+from .neighbours import op1_neighbours
 from .packing import op2_packing
 from .passages import op7_passages
 from .sharding import op5_sharding
@@ -13,6 +14,7 @@ from .simhash import op10_simhash
 from .toxicity import op3_toxicity
 
 QUERIES = {
+    "op1_neighbours": op1_neighbours,
     "op2_packing": op2_packing,
     "op3_toxicity": op3_toxicity,
     "op4_packed_ids": op4_packed_ids,
