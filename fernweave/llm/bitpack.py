@@ -115,12 +115,12 @@ def packed_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for row, part in slices(binary(batch.column(1)), 4 << 20):
-                flat, count = code.encode(part)
+            for row, texts in slices(binary(batch.column(1)), 4 << 20):
+                flat, count = code.encode(texts)
                 with_end = count + 1
                 out = np.full(int(with_end.sum()), end_id, np.uint32)
                 out[spread(np.cumsum(with_end) - with_end, count)] = flat
-                keys += ids[row : row + len(part)]
+                keys += ids[row : row + len(texts)]
                 counts.append(with_end)
                 flats.append(out)
                 held += len(out)
