@@ -72,16 +72,21 @@ def majority(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """docs' doc_id with fingerprint (the 64 bits as a long). A null text has no words and, like every such text, the fingerprint zero."""
+    """docs' doc_id with text_hash and fingerprint (the 64 bits as a long). A null text has no words and, like every such text, the fingerprint zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.zeros(0, np.uint64)]
             for _, part in slices(binary(batch.column(1)), 4 << 20):
                 found.append(majority(*shingle_hashes(part)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "text_hash", "fingerprint"])
 
-    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, fingerprint long")
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash().alias("text_hash"))
+    return map_arrow(source, run, "doc_id long, text_hash long, fingerprint long")
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def chain_keys(fingerprint: Column) -> Column:
@@ -175,7 +180,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK) ->
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """docs' doc_id with fingerprint (long) and component_id: the smallest doc_id that links of distance or less reach.
+    """docs' doc_id with text_hash, fingerprint (long), component_id, the smallest doc_id that links of distance or less reach, and root, the component's key.
 
     Equal fingerprints count once from then on, so a group of copies costs one row. Null doc_ids belong to a component as others do; a component of nothing
     else has a null id. Repeated rows are repeated. An empty table gives an empty one.
@@ -185,8 +190,17 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     roots = components(links(distinct, distance))
     labelled = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
-    own = labelled.join(smallest, "root").select("fingerprint", "component_id")
-    return prints.join(own, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    own = labelled.join(smallest, "root").select("fingerprint", "component_id", "root")
+    return prints.join(own, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """docs with one row for each component: that of its smallest doc_id (a null one only if there is no other), of several such the one of the smallest text_hash."""
+    found = near_duplicates(docs, distance)
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("kept"))
+    kept = first.select(F.col("kept.doc_id").alias("_id"), F.col("kept.text_hash").alias("_text"))
+    same = F.col("doc_id").cast("long").eqNullSafe(kept["_id"]) & (F.col("_hash") == kept["_text"])
+    return docs.withColumn("_hash", text_hash()).join(kept, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
 
 
 def hexadecimal(value: Column) -> Column:

@@ -167,6 +167,12 @@ def is_toxic(expected: Column) -> Column:
     return expected >= F.lit(REJECT)
 
 
+def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that are not toxic."""
+    rows = grade(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text")), model)
+    return rows.where(~is_toxic(F.col("expected_severity"))).select("row.*")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's grade and expected severity, by a model from the labelled ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
