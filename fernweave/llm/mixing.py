@@ -37,7 +37,7 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float
     total, all_weights = F.sum("source_size").over(Window.partitionBy()), F.sum("_weight").over(Window.partitionBy())
     level = (total - F.coalesce(F.sum("_clamp").over(before), F.lit(0.0))) / (all_weights - F.coalesce(F.sum("_weight").over(before), F.lit(0.0)))
     rows = rows.withColumn("_level", level).withColumn("_full", F.col("_clamp") <= F.col("_level") * F.col("_weight"))
-    free = F.min(F.when(~F.col("_full"), F.struct(F.col("_clamp") / F.col("_weight"), F.col("_level").alias("level")))).over(Window.partitionBy())
+    free = F.min(F.when(~F.col("_full"), F.struct(F.col("_clamp") / F.col("_weight"), F.col("source").isNull(), "source", F.col("_level").alias("level")))).over(Window.partitionBy())
     return rows.select("source", "source_size", F.when(F.col("_full"), F.col("_clamp")).otherwise(free["level"] * F.col("_weight")).cast("double").alias("target"))
 
 
