@@ -88,9 +88,10 @@ def test_cutting_stock_meets_demand(lengths):
 
 def test_cutting_stock_is_near_the_bound():
     rng = np.random.default_rng(3)
-    sizes, demand = np.unique(np.clip(rng.lognormal(4, 1, 20_000).astype(int), 1, 511), return_counts=True)
-    used = sum(n for _, n in packing.cutting_stock(sizes, demand, 512))
-    assert used <= 1.01 * (sizes * demand).sum() / 512 + len(sizes)
+    bounds = packing.class_sizes(256)
+    sizes, demand = np.unique(bounds[np.searchsorted(bounds, np.clip(rng.lognormal(3.5, 1, 20_000).astype(int), 1, 255))], return_counts=True)
+    used = sum(n for _, n in packing.cutting_stock(sizes, demand, 256))
+    assert used <= 1.01 * (sizes * demand).sum() / 256 + len(sizes) / 2
 
 
 def test_pack(spark, docs, empty):
