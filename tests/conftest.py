@@ -1,3 +1,7 @@
+import os
+
+os.environ.setdefault("OMP_NUM_THREADS", "1")  # Spark runs a task on each core already
+
 import pytest
 from pyspark.sql import SparkSession
 
