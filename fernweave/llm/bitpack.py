@@ -19,7 +19,7 @@ HEAD = struct.Struct("<8sIIQQ")
 MAGIC = b"FWPACK01"
 BLOCK_IDS = 4096
 #: A file is closed when it holds this many ids; a document is never cut.
-FILE_IDS = 1 << 20
+FILE_IDS = 1 << 19
 END_ID = 2
 
 
@@ -115,7 +115,7 @@ def packed_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = EN
 
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for row, texts in slices(binary(batch.column(1)), 4 << 20):
+            for row, texts in slices(binary(batch.column(1)), 2 << 20):
                 flat, count = code.encode(texts)
                 with_end = count + 1
                 out = np.full(int(with_end.sum()), end_id, np.uint32)

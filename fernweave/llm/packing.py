@@ -177,7 +177,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
         for batch in batches:
-            for row, texts in slices(binary(batch.column(1)), 4 << 20):
+            for row, texts in slices(binary(batch.column(1)), 2 << 20):
                 part = batch.slice(row, len(texts))
                 flat, count = code.encode(texts)
                 n = count + 1

@@ -12,8 +12,8 @@ from .common import binary, buffers, slices, spread
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
-#: Pieces that a worker remembers; about 100 MB.
-KEEP = 400_000
+#: Pieces that a worker remembers; about 40 MB.
+KEEP = 150_000
 
 
 def default_tokenizer() -> str:
@@ -59,7 +59,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(the ids of all texts one after another, the number of ids of each); null is empty."""
         flats, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for _, part in slices(binary(texts)):
+        for _, part in slices(binary(texts), 2 << 20):
             flat, count = self._pieces(part) if self.by_piece else self._plain([x.decode() for x in part.to_pylist()])
             flats.append(flat)
             counts.append(count)
