@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What a step along an edge of each type costs; other types cost 1.
@@ -39,11 +39,13 @@ class Graph:
         return ranked.withColumn("betweenness", F.col("in_degree") * F.col("out_degree") / F.col("_n").cast("double")).drop("_n")
 
     def guarded(self) -> Graph:
-        """Without edges whose ends are no nodes, edges of a node with itself, and repeated (src, dst, type)."""
+        """One node an id, the first, and no edges whose ends are no nodes, that join a node with itself, or repeat (src, dst, type)."""
         ids = self.nodes.select("id")
         edges = self.edges.where("src <> dst").dropDuplicates(["src", "dst", "type"])
         edges = edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        return Graph(self.nodes.dropDuplicates(["id"]), edges)
+        first = [F.col(c).asc_nulls_last() for c in ("ord", "label", "type", "source_file") if c in self.nodes.columns]
+        place = F.row_number().over(Window.partitionBy("id").orderBy(*first))
+        return Graph(self.nodes.withColumn("_k", place).where("_k = 1").drop("_k"), edges.select(*self.edges.columns))
 
     def ends(self, *columns: str) -> DataFrame:
         """edges with the named columns of both ends as src_<name> and dst_<name>; edges without both ends are dropped."""

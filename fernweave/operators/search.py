@@ -15,7 +15,9 @@ DOC_TYPES = ("document", "diagram", "section")
 
 
 def _every_term(words: list[str], columns: list[str]) -> Column:
-    return reduce(and_, [reduce(or_, [contains_like(F.col(c), w) for c in columns]) for w in words])
+    """Each term is in one of the columns; of properties only the values count, not their names."""
+    values = {"properties": F.regexp_replace("properties", r'"[^"]*"\s*:', " ")}
+    return reduce(and_, [reduce(or_, [contains_like(values.get(c, F.col(c)), w) for c in columns]) for w in words])
 
 
 def with_in_degree(g: Graph, nodes: DataFrame) -> DataFrame:
