@@ -102,9 +102,14 @@ def report_key_members(spark, sf_dir):
     return ranking.key_members(star_graph(spark, sf_dir))
 
 
-@query("SELECT extension, count(*) AS n FROM (SELECT DISTINCT lower(regexp_extract(regexp_extract(source_file, '[^/]*$'), '^.+(\\.[^.]+)$', 1)) AS extension, source_file FROM nodes WHERE type IN ('module', 'document', 'diagram') AND source_file IS NOT NULL) GROUP BY 1")
+@query("SELECT '.' || lower(lang) AS extension, count(DISTINCT source || '/' || doc_id) AS n FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY 1", graph=False)
 def file_type_distribution(spark, sf_dir):
-    return ranking.file_types(star_graph(spark, sf_dir))
+    """Documents as files: the source is the folder, the language the ending."""
+    from fernweave.graph import Graph
+
+    docs = load(spark, sf_dir, "documents").where("lang is not null and source is not null")
+    nodes = docs.select(F.lit("document").alias("type"), F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("."), "lang").alias("source_file"))
+    return ranking.file_types(Graph(nodes, nodes))
 
 
 @query("SELECT id, label, type, source_file, degree FROM (SELECT *, in_degree + out_degree AS degree, row_number() OVER (ORDER BY in_degree + out_degree DESC, id) AS k, count(*) OVER () AS n FROM full_nodes WHERE in_degree + out_degree > 0) WHERE k <= ceil(n * (1.0::DOUBLE - 0.8::DOUBLE))")
@@ -284,11 +289,6 @@ def apply_routing(spark, sf_dir):
     return enrich.apply_routing(g, g.nodes.where("type = 'supplier'").select("id", F.lit("0").alias("to"), F.lit(1).alias("ord")))
 
 
-@query("SELECT id, min(r) AS component FROM (SELECT id, (SELECT min(id) FROM nodes) AS r FROM nodes) GROUP BY 1")
-def connected_components(spark, sf_dir):
-    return communities.connected_components(star_graph(spark, sf_dir))
-
-
 def nation_graph(spark, sf_dir):
     """Regions, nations, customers and suppliers, with a supplier and a customer linked by each order between them: a graph with communities to find."""
     from fernweave.graph import Graph
@@ -297,6 +297,15 @@ def nation_graph(spark, sf_dir):
     return Graph(nodes, star_edges(spark, sf_dir).where("type = 'contains'"))
 
 
+@query("SELECT id, min(id) OVER (PARTITION BY community) AS component FROM nodes WHERE type IN ('nation', 'customer', 'supplier')")
+def connected_components(spark, sf_dir):
+    """Without the regions, each nation with its customers and suppliers is a component."""
+    from fernweave.graph import Graph
+
+    g = nation_graph(spark, sf_dir)
+    return communities.connected_components(Graph(g.nodes.where("type <> 'region'"), g.edges.where("src not like 'region:%'")))
+
+
 @query()
 def louvain_communities(spark, sf_dir):
     return communities.louvain(nation_graph(spark, sf_dir))
