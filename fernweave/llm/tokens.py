@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -12,8 +13,8 @@ from .common import binary, buffers, slices, spread
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
-#: Pieces that a worker remembers; about 40 MB.
-KEEP = 150_000
+#: Pieces that a worker remembers; about 60 MB.
+KEEP = 250_000
 
 
 def default_tokenizer() -> str:
@@ -68,7 +69,7 @@ class Encoder:
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         count = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for x in got for i in x), np.uint32, int(count.sum())), count
+        return np.fromiter(chain.from_iterable(got), np.uint32, int(count.sum())), count
 
     def _joined(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """As _plain, for pieces that start with their only white space, a space: many at a time, since just their first ids start with a space."""
@@ -89,23 +90,25 @@ class Encoder:
         first = np.flatnonzero(starts)
         ends = np.append(first, n).astype(np.int64)
         coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(ends), pa.py_buffer(data)]).dictionary_encode()
-        row, lengths, flat = self._rows(coded.dictionary.to_pylist())
+        row, lengths, flat = self._rows(coded.dictionary)
         own = row[coded.indices.to_numpy()]
         size = lengths[own]
         out = flat[spread((np.cumsum(lengths) - lengths)[own], size)]
         piece_of = np.concatenate([[0], np.cumsum(size)])
         return out, np.diff(piece_of[np.searchsorted(first, at)])
 
-    def _rows(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _rows(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The row of each piece in the tables of lengths and ids that are returned with it."""
-        known = self.known
-        row = np.fromiter((known.get(x, -1) for x in pieces), np.int64, len(pieces))
+        data, at = buffers(pieces)
+        pieces, known = pieces.to_pylist(), self.known
+        row = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(row < 0)
         if not len(new):
             return row, self.lengths, self.flat
-        single = [len(pieces[i].split()) == 1 and pieces[i][0] == 32 and pieces[i].count(b" ") == 1 and not pieces[i][-1:].isspace() for i in new.tolist()]
-        new = np.concatenate([new[single], new[np.logical_not(single)]])
-        n = sum(single)
+        blank = (data == 32) | ((data >= 9) & (data <= 13))
+        single = ((data[at[:-1]] == 32) & (np.add.reduceat(blank.astype(np.int64), at[:-1]) == 1))[new]
+        new = np.concatenate([new[single], new[~single]])
+        n = int(single.sum())
         flat, count = self._joined([pieces[i] for i in new[:n].tolist()])
         others, more = self._plain([pieces[i].decode() for i in new[n:].tolist()])
         flat, count = np.concatenate([flat, others]), np.concatenate([count, more])
