@@ -204,3 +204,19 @@ def test_tables_round_trip(spark, g, tmp_path):
     assert graph_json.write_tables(changed, path)
     graph_json.as_views(g)
     assert spark.sql("select count(*) from edges e join nodes n on e.dst = n.id where n.label = 'load_user'").first()[0] == 4
+
+
+def test_enrichment_inputs(spark, g, tmp_path):
+    for k, body in enumerate(('[{"id": "a", "description": "first"}]', '{"id": "a", "description": "second"}', '[{"id": "b", "description": null}]')):
+        (tmp_path / f"batch-{k}.json").write_text(body)
+    got = enrich.merge_answers(spark, f"{tmp_path}/batch-*.json", "id string, description string").collect()
+    assert {r["id"]: r["description"] for r in got} == {"a": "second", "b": None}
+    moves = spark.createDataFrame([("fn:sign_in", "1", 1), ("cls:Auth", "1", 1)], "id string, to string, ord int")
+    routed = enrich.apply_routing(g, moves)
+    again = enrich.reprofile_inputs(g, routed).collect()
+    assert [(r["community"], r["size"]) for r in again] == [("1", 4)] and len(again[0]["members"]) == 4
+    pairs, more, large = enrich.restructure_inputs(g, moves)
+    assert {r["community"]: r["gained"] for r in more.collect()} == {"1": 2} and pairs.count() > 0 and large.count() == 0
+    rows = enrich.routing_inputs(g, spark.createDataFrame([("fn:db_url",)], "id string")).collect()
+    assert "fn:db_url" in {r["id"] for r in rows} and all(r["chunk"] == 1 for r in rows)
+    assert enrich.profile_inputs(g, least=2).where("community = '2'").first()["edges"][0]["dst"] == "fn:Users.get"
