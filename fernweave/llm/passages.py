@@ -104,6 +104,7 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     rows = stored(unit_rows(docs), "units")
     place = F.struct("doc_id", "text_hash", "unit")
     first = rows.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = stored(first, "first")  # else the join would follow in the aggregation's stage, where a hot digest's rows can't be split
     repeats = rows.join(first, "digest").where(F.struct("doc_id", "text_hash", "unit") > F.col("first"))
     own = Window.partitionBy("doc_id", "text_hash").orderBy("unit")
     runs = repeats.withColumn("run", F.col("unit") - F.dense_rank().over(own))
