@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fernweave.storage import shared_dir, stored
+
+__all__ = ["WORD", "binary", "buffers", "map_arrow", "ranked", "shared_dir", "slices", "spread", "stored", "table"]
+
 #: The words of the contracts: runs of bytes other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: At most this many bytes of text are worked on at once in a Python worker.
@@ -19,22 +21,6 @@ SLICE_BYTES = 8 << 20
 BATCH_ROWS = 1000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (``spark.checkpoint.dir``); where it is unset, as in tests, a new temporary one is made and set."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="fernweave-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
-    """df, written as Parquet to the shared folder and read back: lineage ends here, and lost executors cost no recomputation."""
-    path = f"{shared_dir(df.sparkSession)}/fernweave/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -66,11 +52,6 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
     return out.withColumn(name, F.col("_rn").cast("long") + F.col("_base")).drop("_rn", "_base", "_salt", *ks)
 
 
-def utf8(text: Column) -> Column:
-    """text as UTF-8 bytes; null is empty."""
-    return F.encode(F.coalesce(text, F.lit("")), "UTF-8")
-
-
 def binary(column: pa.Array) -> pa.Array:
     """A string or binary column as binary, without nulls (they become empty)."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
@@ -100,12 +81,6 @@ def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, pa.
         row = end
 
 
-def binary_array(parts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """A large_binary column from the bytes of all values and the end of each."""
-    at = np.concatenate([[0], ends]).astype(np.int64)
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(parts))])
-
-
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... (lengths[0] of them), starts[1], ...: the indices of many ranges one after another."""
     total = int(lengths.sum())

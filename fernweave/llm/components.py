@@ -7,11 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import stored
-
-ROUNDS = 50
+from fernweave.operators.components import star_components
 
 
 def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -39,9 +36,7 @@ def contract(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def components(links: DataFrame) -> DataFrame:
     """links (a long, b long) as (node, root): the smallest node of each node's component, for all nodes of links but the roots themselves.
 
-    Each partition first shrinks its own links to stars. Then large-star and small-star steps alternate until nothing changes, in a number of rounds that grows
-    with the logarithm of the nodes. A node's links are never gathered: a step takes the smallest neighbour by partial aggregation and joins it back, where
-    adaptive execution splits a hot node. Every round is written to the shared folder. Null ends are dropped; links of a node with itself have no effect.
+    Each partition first shrinks its own links to stars; star_components() does the rest.
     """
 
     def shrink(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -50,19 +45,5 @@ def components(links: DataFrame) -> DataFrame:
             a, b = contract(np.concatenate([a, batch.column(0).to_numpy()]), np.concatenate([b, batch.column(1).to_numpy()]))
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    edges = links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    edges = stored(edges.mapInArrow(shrink, "a long, b long").distinct(), "links")
-    seen = None
-    for _ in range(ROUNDS):
-        both = edges.union(edges.select("b", "a"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        edges = stored(small.where("a <> b").distinct(), "stars")
-        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        seen = state
-    raise RuntimeError(f"the components did not settle in {ROUNDS} rounds")
+    given = links.where("a is not null and b is not null and a <> b")
+    return star_components(given.mapInArrow(shrink, "a long, b long"))

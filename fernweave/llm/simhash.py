@@ -189,7 +189,7 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct, distance))
     labelled = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("first").alias("component_id"))
+    smallest = stored(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")  # so that a large component's rows can be split in the join
     own = labelled.join(smallest, "root").select("fingerprint", "component_id", "root")
     return prints.join(own, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component_id", "root")
 
