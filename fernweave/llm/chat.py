@@ -89,7 +89,7 @@ def prefix_forest(turns: DataFrame, tokenizer: str | None = None) -> DataFrame:
     rows = rows.withColumn("hash", F.xxhash64("role", "text"))
     order = F.array_sort(F.collect_list(F.struct("turn", "role", "hash")))
     key = F.array_join(F.transform(order, lambda t: F.lpad(F.hex(t["hash"]), 16, "0")), "")
-    convs = rows.groupBy("conv_id").agg(key.alias("key")).repartitionByRange("key").sortWithinPartitions("key", "conv_id")
+    convs = rows.groupBy("conv_id").agg(key.alias("key")).repartitionByRange("key", "conv_id").sortWithinPartitions("key", "conv_id")
     convs = stored(convs.select(F.col("conv_id").alias("_conv"), F.monotonically_increasing_id().alias("rank")), "conversations")
     placed = rows.join(convs, rows["conv_id"].eqNullSafe(convs["_conv"])).select("rank", "conv_id", "role", "text", "turn", "hash")
     placed = placed.repartitionByRange("rank").sortWithinPartitions("rank", "turn", "role", "hash")
