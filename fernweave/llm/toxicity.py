@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, table
@@ -25,6 +25,8 @@ MAX_FEATURES = 1500
 STEMS = (4, 5, 6, 7)
 #: A document is toxic if its expected severity is this or more.
 REJECT = 0.5
+#: Words that a worker remembers; about 50 MB.
+REMEMBER = 300_000
 WORDS = re.compile(r"[^\W_]+")
 
 
@@ -47,7 +49,7 @@ class Model:
     known: dict[str, tuple[str, ...]] = field(default_factory=dict, repr=False)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        """The scores of texts; which features a word has is remembered for a million words at most."""
+        """The scores of texts; which features a word has is remembered for REMEMBER words at most."""
         weights, known, out = self.weights, self.known, np.zeros(len(texts))
         for i, text in enumerate(texts):
             found: set[str] = set()
@@ -55,7 +57,7 @@ class Model:
                 has = known.get(w)
                 if has is None:
                     has = tuple(f for f in signs(w) if f in weights)
-                    if len(known) < 1_000_000:
+                    if len(known) < REMEMBER:
                         known[w] = has
                 if has:
                     found.update(has)
@@ -150,32 +152,32 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int =
 
 
 def grade(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with severity_grade and expected_severity, whatever columns there are beside text; a null or empty text has the score of no words."""
+    """docs with severity_grade, expected_severity and toxic (0 or 1), whatever columns there are beside text; a null or empty text has the score of no words.
+
+    A document is toxic if it is expected to be as severe as REJECT and its words speak for it: where most labels are toxic, one without any sign is not.
+    """
     names = docs.columns
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best, expected = model.grades(model.scores(batch.column(at).to_pylist()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.astype(np.int32)), pa.array(expected)], names=[*names, "severity_grade", "expected_severity"])
+            score = model.scores(batch.column(at).to_pylist())
+            best, expected = model.grades(score)
+            toxic = (expected >= REJECT) & (score > 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(best.astype(np.int32)), pa.array(expected), pa.array(toxic.astype(np.int32))], names=[*names, "severity_grade", "expected_severity", "toxic"])
 
-    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "severity_grade int, expected_severity double"])
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "severity_grade int, expected_severity double, toxic int"])
     return map_arrow(docs, run, fields)
 
 
-def is_toxic(expected: Column) -> Column:
-    return expected >= F.lit(REJECT)
-
-
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that are not toxic."""
     rows = grade(docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text")), model)
-    return rows.where(~is_toxic(F.col("expected_severity"))).select("row.*")
+    return rows.where("toxic = 0").select("row.*")
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's grade and expected severity, by a model from the labelled ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
-    found = grade(docs, model).drop("text")
-    return found.withColumn("toxic", is_toxic(F.col("expected_severity")).cast("int"))
+    return grade(docs, model).drop("text")
