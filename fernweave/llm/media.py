@@ -344,7 +344,7 @@ def media_column(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, part in slices(binary(batch.column(1)), 2 << 20):
+            for row, part in slices(binary(batch.column(1)), 1 << 20):
                 texts = part.to_pylist()
                 made = encode([t + bytes(-len(t) % 64 or (0 if t else 64)) for t in texts])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(part)), pa.array([len(t) for t in texts], pa.int64()), pa.array(made, pa.binary())], names=["doc_id", "n_bytes", "media"])
