@@ -74,7 +74,8 @@ def link(x: np.ndarray, nodes: np.ndarray, keep: int, chunk: int = 256) -> np.nd
     out[:, :keep] = chosen
     source, target = np.repeat(np.arange(n), keep), chosen.ravel()
     source, target = source[target >= 0], target[target >= 0]
-    dist = ((own[source] - own[target]) ** 2).sum(1) if len(source) < 1 << 20 else sq[source]
+    step = 1 << 16
+    dist = np.concatenate([((own[source[a : a + step]] - own[target[a : a + step]]) ** 2).sum(1) for a in range(0, len(source), step)])
     order = np.lexsort((dist, target))
     source, target = source[order], target[order]
     rank = np.arange(len(target)) - np.searchsorted(target, target)
