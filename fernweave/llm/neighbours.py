@@ -20,7 +20,7 @@ SHARD_BYTES = 64 << 20
 #: Links a node keeps on the upper levels, and twice that on the lowest; the chance to reach the next level is one in LINKS.
 LINKS = 16
 #: The beam on the lowest level and on those above it; nodes that a step expands.
-BEAM, UPPER_BEAM, EXPAND = 128, 16, 4
+BEAM, UPPER_BEAM, EXPAND = 320, 32, 8
 #: A level of at most this many nodes is the top; it is searched whole.
 TOP_NODES = 256
 #: Queries that one task searches a shard for.
