@@ -77,7 +77,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [np.zeros(0, np.uint64)]
-            for _, part in slices(binary(batch.column(1)), 4 << 20):
+            for _, part in slices(binary(batch.column(1)), 1 << 20):
                 found.append(majority(*shingle_hashes(part)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "text_hash", "fingerprint"])
 
