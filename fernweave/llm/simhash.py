@@ -21,6 +21,12 @@ LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 SEGMENTS = (13, 13, 13, 13, 12)
 #: A bucket of more fingerprints is compared in blocks of this many.
 BLOCK = 2048
+#: one_of_each(), which op10's contract does not bind: words of a shingle; keys of a set and the smallest hashes in each; equal bytes of two sketches at least
+#: (of 96; at a similarity of 0.8 fewer have a chance of 1 in a million); the shingles of a block of sets.
+COPY_SHINGLE = 5
+BANDS, BAND = 24, 4
+SKETCH_EQUAL = 56
+SET_BLOCK = 200_000
 
 
 def shingle_hashes(texts: pa.Array, n: int = SHINGLE, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
@@ -194,9 +200,171 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return prints.join(own, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component_id", "root")
 
 
-def one_of_each(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """docs with one row for each component: that of its smallest doc_id (a null one only if there is no other), of several such the one of the smallest text_hash."""
-    found = near_duplicates(docs, distance)
+def token_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the different COPY_SHINGLE-word shingles of each text, ascending, one text after another; the number of each text's)."""
+    hashes, count = shingle_hashes(texts, COPY_SHINGLE)
+    row = np.repeat(np.arange(len(count)), count)
+    order = np.lexsort((hashes, row))
+    hashes, row = hashes[order], row[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
+    return hashes[new], np.bincount(row[new], minlength=len(count))
+
+
+def signatures(hashes: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The smallest of BANDS * BAND multiplicative hashes of each run of hashes (a row a run; runs without hashes have zeros)."""
+    out = np.zeros((len(count), BANDS * BAND), np.uint64)
+    some = np.flatnonzero(count)
+    if len(some):
+        begin = (np.cumsum(count) - count)[some]
+        factors = np.random.default_rng(SEED).integers(0, 1 << 63, BANDS * BAND, np.uint64) * np.uint64(2) + np.uint64(1)
+        for i, f in enumerate(factors):
+            out[some, i] = np.minimum.reduceat(hashes * f, begin)
+    return out
+
+
+def set_rows(docs: DataFrame) -> DataFrame:
+    """docs' doc_id and text_hash with set (the hash of its shingles as a set; zero if there are none), bands (their keys) and sketch (a byte of each smallest hash)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, part in slices(binary(batch.column(1)), 1 << 20):
+                hashes, count = token_sets(part)
+                least = signatures(hashes, count)
+                ends = np.cumsum(count)
+                own = [xxhash.xxh64_intdigest(hashes[e - n : e].tobytes(), SEED) if n else 0 for e, n in zip(ends.tolist(), count.tolist(), strict=True)]
+                mixed = np.zeros((len(part), BANDS), np.uint64)
+                for i in range(BAND):
+                    mixed = (mixed ^ least[:, i::BAND]) * np.uint64(0x9E3779B97F4A7C15)
+                    mixed ^= mixed >> np.uint64(29)
+                mixed += np.arange(BANDS, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+                bands = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(part) + 1, BANDS, dtype=np.int32)), pa.array(mixed.view(np.int64).ravel()))
+                sketch = pa.array([x.tobytes() for x in (least >> np.uint64(56 - 16)).astype(np.uint8)], pa.binary())
+                ids, texts = batch.column(0).slice(row, len(part)), batch.column(2).slice(row, len(part))
+                yield pa.RecordBatch.from_arrays([ids, texts, pa.array(np.array(own, np.uint64).view(np.int64)), bands, sketch], names=["doc_id", "text_hash", "set", "bands", "sketch"])
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash().alias("text_hash"))
+    return map_arrow(source, run, "doc_id long, text_hash long, set long, bands array<long>, sketch binary")
+
+
+def spanning(n: int, near) -> tuple[np.ndarray, np.ndarray]:
+    """Links (places) that connect 0..n-1 as all pairs would for which near holds; near(i, rest) says which of rest are near i."""
+    free, a, b = np.ones(n, bool), [], []
+    for root in range(n):
+        if not free[root]:
+            continue
+        free[root], front = False, [root]
+        while front:
+            i = front.pop()
+            rest = np.flatnonzero(free)
+            if not len(rest):
+                break
+            met = rest[near(i, rest)]
+            free[met] = False
+            front += met.tolist()
+            a.append(np.full(len(met), i))
+            b.append(met)
+    none = [np.zeros(0, np.int64)]
+    return np.concatenate(a or none), np.concatenate(b or none)
+
+
+def like_sketches(data: list[bytes]):
+    x = np.frombuffer(b"".join(data), np.uint8).reshape(len(data), -1)
+    return lambda i, rest: (x[rest] == x[i]).sum(1) >= SKETCH_EQUAL
+
+
+def like_sets(data: list[bytes]):
+    """Whether the Jaccard similarity of two sets is 0.8 or more, in whole numbers."""
+    sets = [np.frombuffer(d, np.uint64) for d in data]
+    sizes = np.array([len(x) for x in sets], np.int64)
+    at = np.cumsum(sizes) - sizes
+    place = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    mark = np.zeros(len(place) + 1, bool)
+
+    def near(i: int, rest: np.ndarray) -> np.ndarray:
+        own = place[at[i] : at[i] + sizes[i]]
+        out = np.zeros(len(rest), bool)
+        fits = np.flatnonzero((5 * sizes[rest] >= 4 * sizes[i]) & (5 * sizes[i] >= 4 * sizes[rest]))
+        if len(fits):
+            other = rest[fits]
+            mark[own] = True
+            common = np.add.reduceat(mark[place[spread(at[other], sizes[other])]].astype(np.int64), np.cumsum(sizes[other]) - sizes[other])
+            mark[own] = False
+            out[fits] = 9 * common >= 4 * (sizes[i] + sizes[other])
+        return out
+
+    return near
+
+
+def block_links(rows: DataFrame, like, weight: Column, most: int) -> DataFrame:
+    """(a, b): links that connect the members of each group of rows (grp, set, data) as all its pairs would for which like() holds.
+
+    A group whose weight is over most is compared in blocks, every two of them in a task of their own.
+    """
+    blocks = stored(rows.groupBy("grp").agg(F.ceil(F.sum(weight) / F.lit(most)).cast("int").alias("blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "blocks")
+    met = rows.join(blocks, "grp").withColumn("x", F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("grp", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "set", "data")
+    met = met.repartition("grp", "x", "y").sortWithinPartitions("grp", "x", "y")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own, data = None, [], []
+
+        def found() -> pa.RecordBatch:
+            a, b = spanning(len(own), like(data))
+            ids = np.array(own, np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b])], names=["a", "b"])
+
+        for batch in batches:
+            for g, x, y, s, d in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (g, x, y) != last and len(own) > 1:
+                    yield found()
+                if (g, x, y) != last:
+                    last, own, data = (g, x, y), [], []
+                own.append(s)
+                data.append(d)
+        if len(own) > 1:
+            yield found()
+
+    return map_arrow(met, compare, "a long, b long")
+
+
+def near_copies(docs: DataFrame) -> DataFrame:
+    """docs' doc_id and text_hash with root, the key of its component by links of a Jaccard similarity of 0.8 or more over different 5-word shingles.
+
+    At 0.8 fingerprints differ in some 10 of 64 bits, too many for keys of them; so candidates share one of BANDS keys of BAND smallest hashes (a pair at 0.8
+    is missed with a chance of 3 in a million) and most of the bytes of their sketches. The candidates' components, small but for real groups of copies, are then compared by
+    their whole sets. Equal sets count once. Texts without words are copies of each other.
+    """
+    rows = stored(set_rows(docs), "sets")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    distinct = stored(rows.where("set <> 0").groupBy("set").agg(F.min(place).alias("first")), "distinct-sets")
+    one = rows.where("set <> 0").groupBy("set").agg(F.min("bands").alias("bands"))
+    keys = one.select("set", F.explode("bands").alias("grp"))
+    shared = keys.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
+    met = stored(keys.join(shared, "grp"), "shared-bands")
+    sketches = stored(rows.join(met.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min("sketch").alias("data")), "sketches")
+    coarse = stored(components(block_links(met.join(sketches, "set"), like_sketches, F.lit(1), BLOCK)), "coarse")
+    members = coarse.select(F.col("node").alias("set"), F.col("root").alias("grp")).unionAll(coarse.select(F.col("root").alias("set"), F.col("root").alias("grp")).distinct())
+    wanted = stored(members.join(distinct, "set").select("set", "grp", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_text")), "candidates")
+    source = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text"), text_hash().alias("_hash"))
+    texts = source.join(wanted, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_hash") == F.col("_text"))).select("set", "text", "grp")
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, part in slices(binary(batch.column(1)), 1 << 20):
+                hashes, count = token_sets(part)
+                ends = np.cumsum(count)
+                data = pa.array([hashes[e - n : e].tobytes() for e, n in zip(ends.tolist(), count.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(part)), data, batch.column(2).slice(row, len(part))], names=["set", "data", "grp"])
+
+    sets = stored(map_arrow(texts, shingled, "set long, data binary, grp long").dropDuplicates(["set"]), "candidate-sets")
+    roots = stored(components(block_links(sets.select("grp", "set", "data"), like_sets, F.length("data") / F.lit(8), SET_BLOCK)), "copy-roots")
+    return rows.select("doc_id", "text_hash", "set").join(roots, F.col("set") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("root", "set").alias("root"))
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """docs with one row for each component of near copies: that of its smallest doc_id (a null one only if there is no other), of several such the one of the smallest text_hash."""
+    found = near_copies(docs)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("kept"))
     kept = first.select(F.col("kept.doc_id").alias("_id"), F.col("kept.text_hash").alias("_text"))
     same = F.col("doc_id").cast("long").eqNullSafe(kept["_id"]) & (F.col("_hash") == kept["_text"])

@@ -155,3 +155,22 @@ def test_passages_of_awkward_documents(docs, empty):
     assert any(r["doc_id"] == 8 for r in spans)  # a text repeats itself
     assert passages.repeated_spans(empty).count() == 0 and passages.dedup_passages(empty).count() == 0
     assert np.all([r["end"] > r["start"] for r in spans])
+
+
+def test_near_copies_from_a_similarity_of_08(spark):
+    rng = random.Random(6)
+    rows, shingles = [], lambda t: {tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)}
+    for i in range(60):  # edits at 1 to 6 places put the pairs on both sides of 0.8
+        words = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+        rows.append((2 * i, " ".join(words)))
+        for at in rng.sample(range(5, 145), 1 + i % 6):
+            words[at] = f"x{rng.randrange(10**6)}"
+        rows.append((2 * i + 1, " ".join(words)))
+    want = set()
+    for (i, a), (j, b) in zip(rows[::2], rows[1::2], strict=True):
+        want |= {i} if len(shingles(a) & shingles(b)) >= 0.8 * len(shingles(a) | shingles(b)) else {i, j}
+    assert 60 < len(want) < 120
+    assert {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()} == want
+    data = [np.array(s, np.uint64).tobytes() for s in (range(90), range(10, 100), range(11, 101), range(500, 510))]
+    a, b = simhash.spanning(4, simhash.like_sets(data))
+    assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 1), (1, 2)]
