@@ -1,4 +1,4 @@
-"""Substring dedup by hashing the lines of texts, and the sentences that make up a line."""
+"""Substring dedup by winnowing hashes of word runs, and word-by-word extension of what matches."""
 
 from __future__ import annotations
 
@@ -7,17 +7,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import binary, buffers, map_arrow, slices, spread, stored, table
 from .simhash import LOWER
 
-#: Repeated units that follow each other are removed if they hold this many words together; common phrases are shorter.
+#: Repeated words that follow each other are removed if they are this many; common phrases are shorter.
 MIN_WORDS = 25
-#: A sentence of more words is cut once more, before words of certain bytes (about one in eight).
-LONG_UNIT = 24
 SEED = 7
+#: A sentence of more words is cut once more by units(), before words of certain bytes (about one in eight).
+LONG_UNIT = 24
+#: Random values of bytes, and the odd base of the powers that they are summed with, modulo 2**64.
+BYTES = np.random.default_rng(SEED).integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+BASE = 0x9E3779B97F4A7C15
+BACK = pow(BASE, -1, 1 << 64)
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
 
 
 def units(texts: pa.Array) -> tuple[np.ndarray, ...]:
@@ -75,46 +91,176 @@ def units(texts: pa.Array) -> tuple[np.ndarray, ...]:
     return row, spread(np.zeros(len(texts), np.int64), per_doc), n, points[starts[begin]] - zero, points[ends[final]] - zero, digest
 
 
-UNITS = "doc_id long, text_hash int, unit int, words int, start int, end int, digest long"
+class Words:
+    """The words of binary texts, one text after another: doc, first[doc] (the first word of each, and their number), start and end in code points."""
+
+    def __init__(self, texts: pa.Array):
+        raw, at = buffers(texts)
+        size = len(raw)
+        solid = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
+        bound = np.zeros(size + 1, bool)
+        bound[at] = True
+        first, last = solid.copy(), solid.copy()
+        first[1:] &= ~solid[:-1] | bound[1:-1]
+        last[:-1] &= ~solid[1:] | bound[1:-1]
+        starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+        self.doc = np.searchsorted(at, starts, "right") - 1
+        self.first = np.searchsorted(starts, at)
+        points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+        zero = points[at[self.doc]]
+        self.start, self.end = points[starts] - zero, points[ends] - zero
+        length = ends - starts + 1  # each word with a space after it
+        self.at = np.concatenate([[0], np.cumsum(length)])
+        joined = np.full(self.at[-1], 32, np.uint8)
+        joined[spread(self.at[:-1], length - 1)] = LOWER[raw[spread(starts, length - 1)]]
+        self.sums = np.concatenate([[np.uint64(0)], np.cumsum(BYTES[joined] * powers(BASE, len(joined)), dtype=np.uint64)])
+        self.back = powers(BACK, len(joined) + 1)
+
+    def digests(self, n: int) -> np.ndarray:
+        """The hash of every n words that follow each other, with A-Z as a-z and one space after each."""
+        a, z = self.at[: max(0, len(self.at) - n)], self.at[n:]
+        return mixed((self.sums[z] - self.sums[a]) * self.back[a])
+
+
+def sizes(min_words: int) -> tuple[int, int]:
+    """(words of a hashed run, places of a window): min_words words hold one window of such runs."""
+    k = (min_words + 2) // 2
+    return k, min_words + 1 - k
+
+
+def anchors(texts: pa.Array, min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
+    """(row, index in the text, first word, digest) of the runs of words that stand for binary texts: of every window of runs the one of the smallest hash.
+
+    The choice depends on the words of the window alone, so whatever min_words words stand at two places have a run in common, wherever they start or end, and
+    the runs chosen of a text meet or overlap. Texts of fewer words than min_words have none.
+    """
+    k, w = sizes(min_words)
+    words = Words(texts)
+    digest = words.digests(k)
+    count = np.maximum(np.diff(words.first) - min_words + 1, 0)  # windows of each text
+    begin = spread(words.first[:-1], count)
+    if not len(begin):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none
+    best, least = begin.copy(), digest[begin]
+    for i in range(1, w):
+        other = digest[begin + i]
+        less = other < least
+        best, least = np.where(less, begin + i, best), np.where(less, other, least)
+    new = np.ones(len(best), bool)  # within a text the choice never moves back
+    new[1:] = best[1:] != best[:-1]
+    best = best[new]
+    row = words.doc[best]
+    per_doc = np.bincount(row, minlength=len(texts))
+    return row, spread(np.zeros(len(texts), np.int64), per_doc), best - words.first[row], digest[best].view(np.int64)
+
+
+def identified(docs: DataFrame) -> DataFrame:
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return source.withColumn("text_hash", F.hash("text"))
 
 
-def unit_rows(docs: DataFrame) -> DataFrame:
-    """A row a unit of docs (doc_id, text). Null and blank texts have none."""
+def anchor_rows(docs: DataFrame, min_words: int) -> DataFrame:
+    """A row an anchor of docs (doc_id, text). Null and short texts have none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, part in slices(binary(batch.column(1)), 1 << 20):
-                of, unit, words, start, end, digest = units(part)
+                of, unit, pos, digest = anchors(part, min_words)
                 own = pa.array(of + row)
-                small = [pa.array(x.astype(np.int32)) for x in (unit, words, start, end)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), *small, pa.array(digest)], names=["doc_id", "text_hash", "unit", "words", "start", "end", "digest"])
+                small = [pa.array(x.astype(np.int32)) for x in (unit, pos)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(2).take(own), *small, pa.array(digest)], names=["doc_id", "text_hash", "unit", "pos", "digest"])
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_arrow(source.withColumn("text_hash", F.hash("text")), run, UNITS)
+    return map_arrow(identified(docs), run, "doc_id long, text_hash int, unit int, pos int, digest long")
+
+
+CONTEXT = "doc_id long, text_hash int, pos int, before array<long>, after array<long>, starts array<int>, ends array<int>"
+
+
+def contexts(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
+    """For the anchors at wanted (doc_id, text_hash, pos): the hashes of the words before (nearest first) and after, as many as a match can go on for, and
+    where the span would start and end (code points) with 0, 1, 2, ... of them."""
+    k, w = sizes(min_words)
+    of = stored(wanted.groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("at")), "wanted")
+    of = of.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "at")
+    joined = identified(docs).join(of, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))).select("doc_id", "text", "text_hash", "at")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, part in slices(binary(batch.column(1)), 1 << 20):
+                words = Words(part)
+                one = words.digests(1).view(np.int64)
+                own, rest = [], [[] for _ in range(5)]
+                for i, at in enumerate(batch.column(3).slice(row, len(part)).to_pylist()):
+                    low, high = words.first[i], words.first[i + 1]
+                    for p in at:
+                        a, z = low + p, low + p + k
+                        left, right = max(low, a - w), min(high, z + w)
+                        own.append(row + i)
+                        for out, x in zip(rest, (p, one[left:a][::-1], one[z:right], words.start[left : a + 1][::-1], words.end[z - 1 : right]), strict=True):
+                            out.append(x)
+                kinds = (pa.int32(), *[pa.list_(t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())])
+                values = [pa.array(x, t) for x, t in zip(rest, kinds, strict=True)]
+                take = pa.array(own, pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(2).take(take), *values], names=["doc_id", "text_hash", "pos", "before", "after", "starts", "ends"])
+
+    return map_arrow(joined, run, CONTEXT).dropDuplicates(["doc_id", "text_hash", "pos"])
+
+
+def equal_words(a: Column, b: Column) -> Column:
+    """How many elements at the start of two arrays are equal."""
+    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
+    stop = F.array_position(same, False)
+    return F.when(stop > 0, stop - 1).otherwise(F.size(same)).cast("int")
 
 
 def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """The spans of docs (doc_id, text) to remove: doc_id, text_hash, start, end (code points of the original text), words, kept_doc_id.
 
-    Of units with one digest the first in the order of (doc_id, text_hash, place) is kept, within a text too; the document that holds it is kept_doc_id, for
-    the first unit of a span. A span is the longest run of units that are repeats, and counts if it holds min_words words. Null doc_ids come first. Rows with
-    one doc_id and different texts are documents of their own; rows equal in both are one document, whose spans are given once for each row.
-    A digest that a third of all units share costs a row a task in the aggregation, and its rows are split by adaptive execution in the join.
+    Of anchors with one digest the first in the order of (doc_id, text_hash, place) is kept, within a text too (there, one that overlaps it is none). A run of
+    anchors that are repeats goes on word by word at both ends for as long as the kept occurrence has the same words; runs that overlap then are one span,
+    which counts if it holds min_words words. So whatever min_words words or more stand at two places are found. kept_doc_id is that of the first anchor.
+    Null doc_ids come first. Rows with one doc_id and different texts are documents of their own; rows equal in both are one document.
+    A digest that a third of all anchors share costs a row a task in the aggregation, and its rows are split by adaptive execution in the join.
     """
-    rows = stored(unit_rows(docs), "units")
-    place = F.struct("doc_id", "text_hash", "unit")
+    k, w = sizes(min_words)
+    rows = stored(anchor_rows(docs, min_words), "anchors")
+    place = F.struct("doc_id", "text_hash", "pos")
     first = rows.groupBy("digest").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     first = stored(first, "first")  # else the join would follow in the aggregation's stage, where a hot digest's rows can't be split
-    repeats = rows.join(first, "digest").where(F.struct("doc_id", "text_hash", "unit") > F.col("first"))
+    same_text = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))
+    repeats = rows.join(first, "digest").where((place > F.col("first")) & ~(same_text & (F.col("pos") < F.col("first.pos") + k)))
     own = Window.partitionBy("doc_id", "text_hash").orderBy("unit")
-    runs = repeats.withColumn("run", F.col("unit") - F.dense_rank().over(own))
-    found = runs.groupBy("doc_id", "text_hash", "run").agg(
+    runs = repeats.withColumn("run", F.col("unit") - F.dense_rank().over(own)).groupBy("doc_id", "text_hash", "run")
+    runs = stored(runs.agg(F.min("pos").alias("a"), F.max("pos").alias("z"), F.min_by("first", "unit").alias("first_a"), F.max_by("first", "unit").alias("first_z")).drop("run"), "runs")
+    wanted = [runs.select("doc_id", "text_hash", F.col(c).alias("pos")) for c in ("a", "z")] + [runs.select(f"{c}.*") for c in ("first_a", "first_z")]
+    around = stored(contexts(docs, wanted[0].unionAll(wanted[1]).unionAll(wanted[2]).unionAll(wanted[3]).distinct(), min_words), "contexts")
+
+    def beside(found: DataFrame, doc_id: str, text_hash: str, pos: str, **columns: str) -> DataFrame:
+        c = around.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("pos").alias("_pos"), *[F.col(v).alias(n) for n, v in columns.items()])
+        return found.join(c, F.col(doc_id).eqNullSafe(c["_id"]) & (F.col(text_hash) == c["_hash"]) & (F.col(pos) == c["_pos"])).drop("_id", "_hash", "_pos")
+
+    found = beside(runs, "doc_id", "text_hash", "a", left="before", starts="starts")
+    found = beside(found, "doc_id", "text_hash", "z", right="after", ends="ends")
+    found = beside(found, "first_a.doc_id", "first_a.text_hash", "first_a.pos", kept_left="before")
+    found = beside(found, "first_z.doc_id", "first_z.text_hash", "first_z.pos", kept_right="after")
+    inside = lambda c: F.col("doc_id").eqNullSafe(F.col(f"{c}.doc_id")) & (F.col("text_hash") == F.col(f"{c}.text_hash"))
+    # within a text neither end may go on into the words that are kept
+    left, right = equal_words(F.col("left"), F.col("kept_left")), equal_words(F.col("right"), F.col("kept_right"))
+    left = F.when(inside("first_a"), F.least(left, F.col("a") - F.col("first_a.pos") - k)).otherwise(left)
+    right = F.when(inside("first_z"), F.greatest(F.lit(0), F.least(right, F.col("a") - F.col("first_z.pos") - k))).otherwise(right)
+    found = found.withColumns({"left": left, "right": right})
+    spans = found.select("doc_id", "text_hash", (F.col("a") - F.col("left")).alias("a"), (F.col("z") + k + F.col("right")).alias("z"), F.col("starts")[F.col("left")].alias("start"), F.col("ends")[F.col("right")].alias("end"), F.col("first_a.doc_id").alias("kept"))
+    order = Window.partitionBy("doc_id", "text_hash").orderBy("a", "z")
+    spans = spans.withColumn("new", F.coalesce((F.col("a") > F.max("z").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1)))
+    spans = spans.withColumn("span", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    merged = spans.groupBy("doc_id", "text_hash", "span").agg(
         F.min("start").cast("long").alias("start"),
         F.max("end").cast("long").alias("end"),
-        F.sum("words").alias("words"),
-        F.min_by(F.col("first.doc_id"), "unit").alias("kept_doc_id"),
+        (F.max("z") - F.min("a")).cast("long").alias("words"),
+        F.min_by("kept", "a").alias("kept_doc_id"),
     )
-    return found.where(F.col("words") >= min_words).drop("run")
+    return merged.where(F.col("words") >= min_words).drop("span")
 
 
 def without_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:

@@ -174,3 +174,21 @@ def test_near_copies_from_a_similarity_of_08(spark):
     data = [np.array(s, np.uint64).tobytes() for s in (range(90), range(10, 100), range(11, 101), range(500, 510))]
     a, b = simhash.spanning(4, simhash.like_sets(data))
     assert sorted(zip(a.tolist(), b.tolist(), strict=True)) == [(0, 1), (1, 2)]
+
+
+def test_passages_without_bounds_are_removed_whole(spark):
+    rng = random.Random(12)
+    plain = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 9))) for _ in range(n))
+    rows, want = [], {}
+    for i in range(80):  # 51 words without a stop or a capital, within such prose, beside different words
+        passage = plain(51)
+        rows.append((i, f"{plain(rng.randint(0, 40))} A {passage} é {plain(rng.randint(0, 40))}"))
+        before = plain(rng.randint(0, 40)) + " B "
+        rows.append((1000 + i, f"{before}{passage} ê {plain(rng.randint(0, 40))}"))
+        want[1000 + i] = (len(before), len(before) + len(passage), 51, i)
+    rows += [(3000, "same words " * 100), (3001, plain(200))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["start"], r["end"], r["words"], r["kept_doc_id"]) for r in passages.repeated_spans(df).collect()}
+    repeats = got.pop(3000)
+    assert got == want
+    assert repeats[2] >= 200 - 2 * passages.MIN_WORDS and repeats[3] == 3000 and repeats[0] > 0
