@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stored, table
+from .components import contract
 
 TOP = 20
 #: Shards; more where one would hold more vectors or bytes than these.
@@ -84,6 +85,14 @@ def link(x: np.ndarray, nodes: np.ndarray, keep: int, chunk: int = 256) -> np.nd
     return np.where(out >= 0, nodes[np.maximum(out, 0)], -1).astype(np.int32)
 
 
+def firsts(nodes: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """Of nodes, the first of each component of links, where there is more than one."""
+    source, target = np.repeat(nodes, links.shape[1]), links.ravel().astype(np.int64)
+    moved = contract(source[target >= 0], target[target >= 0])[0]
+    first = ~np.isin(nodes, moved)
+    return first if first.sum() > 1 else np.zeros(len(nodes), bool)
+
+
 class Graph:
     """A shard's vectors with the levels of its graph: nodes[l] (rows, ascending) and links[l] (len(nodes[l]) x width, rows; -1 fills up)."""
 
@@ -96,7 +105,8 @@ class Graph:
         """vectors (n, d); ids (n, any), -1 filled up: the smallest vec_ids that have the vector. Levels are drawn by hashing the first id.
 
         Largest inner product is nearest in Euclidean distance after one more component that makes all norms equal; links are made there. Candidates for links
-        are each node's exact nearest neighbours on its level, found in blocks.
+        are each node's exact nearest neighbours on its level, found in blocks. A level of tight clusters falls apart into components; a node of each is on the
+        next level too, and so on, so that the top, which is searched whole, has a way into all of them.
         """
         n = len(vectors)
         x = vectors.astype(np.float32)
@@ -110,7 +120,7 @@ class Graph:
         while True:
             nodes.append(own)
             links.append(link(x, own, LINKS if not links else LINKS // 2))
-            above = own[level[own] >= len(nodes)]
+            above = own[(level[own] >= len(nodes)) | firsts(own, links[-1])]
             if len(own) <= TOP_NODES or not len(above):
                 return cls(vectors, ids, nodes, links)
             own = above

@@ -65,3 +65,11 @@ def test_awkward_vectors(spark):
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
     alone = spark.createDataFrame([(20, [1.0, 2.0], 0)], SCHEMA)
     assert neighbours.nearest(alone, F.col("vec_id") % 20 == 0).count() == 0
+
+
+def test_recall_on_tight_clusters():
+    rng = np.random.default_rng(1)
+    x = 3 * rng.normal(size=(15, 24))[rng.integers(0, 15, 6000)] + 0.1 * rng.normal(size=(6000, 24))  # 400 vectors each
+    g, q = neighbours.Graph.build(x, np.arange(6000)[:, None]), x[:200]
+    want, got = np.argsort(-(q @ x.T), 1)[:, :20], g.search(q)[:, :20]
+    assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(want, got, strict=True)]) > 0.95
