@@ -116,17 +116,38 @@ def chain_keys(fingerprint: Column) -> Column:
     return F.array(*keys)
 
 
-def near_pairs(value: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within runs of equal group that connect what lies within distance: all pairs of small runs, a star for each component of large ones."""
+def chained(diff: np.ndarray, first: np.ndarray | int, distance: int = DISTANCE) -> np.ndarray:
+    """Whether the chain of segments that starts at first stays within its budget at every length: 1, 2, ... segments differ in at most that share of distance.
+
+    The pigeonring filter: pairs within distance pass it for one start at least, and few others do; what fails needs no full Hamming check.
+    """
+    low, m = np.cumsum((0, *SEGMENTS)).astype(np.uint64), len(SEGMENTS)
+    masks = np.array([(1 << n) - 1 for n in SEGMENTS], np.uint64)
+    total, good = np.zeros(np.shape(diff), np.int64), np.ones(np.shape(diff), bool)
+    for n in range(1, m):
+        s = (np.asarray(first) + n - 1) % m
+        total += np.bitwise_count((diff >> low[s]) & masks[s])
+        good &= total <= n * distance // m
+    return good
+
+
+def near_pairs(value: np.ndarray, group: np.ndarray, first: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within runs of equal group that connect what lies within distance: all pairs of small runs, a star for each component of large ones.
+
+    A run is a bucket of the chains that start at the segment first; candidates must pass that chain's budgets before their Hamming distance is taken. What
+    another chain alone lets pass is linked in that chain's bucket.
+    """
     begin = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     size = np.diff(np.append(begin, len(group)))
     a, b = [], []
     few = size <= 48
     n = np.repeat(size[few], size[few])  # a row for each member; it meets the members after it
-    first = spread(begin[few], size[few])
+    top = spread(begin[few], size[few])
     place = spread(np.zeros(int(few.sum()), np.int64), size[few])
     after = n - 1 - place
-    left, right = np.repeat(first, after), spread(first + 1, after)
+    left, right = np.repeat(top, after), spread(top + 1, after)
+    near = np.flatnonzero(chained(value[left] ^ value[right], first[left], distance))
+    left, right = left[near], right[near]
     near = np.bitwise_count(value[left] ^ value[right]) <= distance
     a.append(value[left[near]])
     b.append(value[right[near]])
@@ -140,7 +161,9 @@ def near_pairs(value: np.ndarray, group: np.ndarray, distance: int) -> tuple[np.
                 met = np.zeros(len(own), bool)
                 rest = np.flatnonzero(free)
                 for f in range(0, len(front), 256):
-                    met[rest] |= (np.bitwise_count(own[front[f : f + 256], None] ^ own[None, rest]) <= distance).any(0)
+                    diff = own[front[f : f + 256], None] ^ own[None, rest]
+                    x, y = np.nonzero(chained(diff, first[s], distance))
+                    met[rest[y[np.bitwise_count(diff[x, y]) <= distance]]] = True
                 front = np.flatnonzero(met & free)
                 free[front] = False
                 a.append(np.full(len(front), own[root]))
@@ -167,7 +190,7 @@ def links(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK) ->
         def found(table: pa.Table) -> pa.RecordBatch:
             key, x, y, value = (table.column(i).to_numpy() for i in range(4))
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])])
-            a, b = near_pairs(value.view(np.uint64), np.cumsum(new), distance)
+            a, b = near_pairs(value.view(np.uint64), np.cumsum(new), (key >> 32) // 6, distance)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         held = None
@@ -366,9 +389,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row for each component of near copies: that of its smallest doc_id (a null one only if there is no other), of several such the one of the smallest text_hash."""
     found = near_copies(docs)
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("kept"))
-    kept = first.select(F.col("kept.doc_id").alias("_id"), F.col("kept.text_hash").alias("_text"))
-    same = F.col("doc_id").cast("long").eqNullSafe(kept["_id"]) & (F.col("_hash") == kept["_text"])
-    return docs.withColumn("_hash", text_hash()).join(kept, same, "left_semi").dropDuplicates(["doc_id", "_hash"]).drop("_hash")
+    kept = first.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_hash").alias("kept_hash"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), text_hash().alias("hash"))
+    same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
 
 
 def hexadecimal(value: Column) -> Column:

@@ -120,6 +120,32 @@ class Encoder:
         return row, lengths, flat
 
 
+class Decoder:
+    """The bytes of ids of a byte-level vocabulary, whose tokens write a byte as a printable character."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]  # these stand for themselves
+        byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+        own = {i: t.encode() for t, i in tokenizer.get_vocab(with_added_tokens=True).items()}
+        own |= {i: bytes(byte[c] for c in t) for t, i in tokenizer.get_vocab(with_added_tokens=False).items() if all(c in byte for c in t)}
+        table = [own.get(i, b"") for i in range(max(own, default=-1) + 1)]
+        self.length = np.array([len(t) for t in table], np.int64)
+        self.start = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return self.flat[spread(self.start[ids], self.length[ids])].tobytes()
+
+
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Decoder:
+    """One decoder per worker process and vocabulary file."""
+    return Decoder(path)
+
+
 def piece_starts(data: np.ndarray) -> np.ndarray:
     """Where pieces start in UTF-8 bytes: a flag a byte."""
     n = len(data)
