@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .bitpack import op4_packed_ids
-from .chat import op9_chat
+from .chat import OP9_SQL, op9_chat
 from .media import op8_media
 from .mixing import OP6_SQL, op6_mixing
 from .neighbours import op1_neighbours
@@ -27,4 +27,5 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op6_mixing": OP6_SQL,
+    "op9_chat": OP9_SQL,
 }

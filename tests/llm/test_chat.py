@@ -1,11 +1,14 @@
 import hashlib
 
+import duckdb
 import numpy as np
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from fernweave.llm import chat
+from fernweave.llm.tokens import decoder, default_tokenizer
 
 SCHEMA = "conv_id long, turn long, role string, text string"
 ROWS = (
@@ -47,7 +50,7 @@ def test_read_back(spark):
 
 def test_shared_turns_once_with_positions_and_attention(spark):
     forest = chat.prefix_forest(spark.createDataFrame(ROWS, SCHEMA).coalesce(1)).collect()
-    nodes = [r.asDict(recursive=True) for r in forest if r["segment"] is not None]
+    nodes = [r.asDict(recursive=True) for r in forest if r["ids"] is not None]
     want = by_conversation(ROWS)
     prefixes = {tuple(t[: k + 1]) for t in want.values() for k in range(len(t))}
     assert len({n["part"] for n in nodes}) > 1 or len(nodes) == len(prefixes)
@@ -69,3 +72,34 @@ def test_shared_turns_once_with_positions_and_attention(spark):
             k = len(n["ids"]) // 4
             if k:
                 assert np.flatnonzero(mask[n["start"] + k - 1]).tolist() == sorted([*before, *range(n["start"], n["start"] + k)])
+        loss = np.zeros(end, bool)
+        for n in own:
+            loss[n["loss_start"] : n["loss_end"]] = True
+        tokens = np.concatenate([np.frombuffer(n["ids"], "<u4") for n in own])
+        spoken = decoder(default_tokenizer()).decode(tokens[loss]).decode()
+        assert chat.START not in spoken and chat.END not in spoken
+
+
+@pytest.mark.parametrize("column", ["position", "start", "intervals"])
+def test_a_forest_that_does_not_agree_is_refused(spark, column):
+    forest = chat.prefix_forest(spark.createDataFrame(ROWS, SCHEMA).coalesce(1))
+    wrong = {"position": F.col("position") + 1, "start": F.col("start") + 1, "intervals": F.expr("transform(intervals, x -> named_struct('start', x.start, 'end', x.end + 1))")}
+    with pytest.raises(Exception, match="agree|no node|formatted|index"):
+        chat.read_conversations(forest.withColumn(column, wrong[column])).collect()
+
+
+def test_query_and_sql_agree(spark, tmp_path):
+    rows = [r for r in ROWS if r[0] not in (9, None)]  # SQL leaves the order of equal turns open
+    spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    got = chat.op9_chat(spark, str(tmp_path))
+    assert [f"{f.name} {f.dataType.simpleString()}" for f in got.schema] == [x.replace("long", "bigint") for x in chat.READ.split(", ")]
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(chat.OP9_SQL).fetchall())
+
+
+def test_more_turns_than_the_key_holds(spark, monkeypatch):
+    monkeypatch.setattr(chat, "KEY_TURNS", 2)
+    rows = [(c, t, "user", f"{t} {c // 2 if t > 2 else 0}") for c in range(6) for t in range(5)]
+    got = {r["conv_id"]: r["turns_sha256"] for r in chat.read_conversations(chat.prefix_forest(spark.createDataFrame(rows, SCHEMA))).collect()}
+    assert got == {c: hashlib.sha256("".join(f"user\n{t} {c // 2 if t > 2 else 0}\n" for t in range(5)).encode()).hexdigest() for c in range(6)}
