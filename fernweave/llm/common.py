@@ -6,12 +6,12 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fernweave.storage import shared_dir, stored
 
-__all__ = ["WORD", "binary", "buffers", "map_arrow", "ranked", "shared_dir", "slices", "spread", "stored", "table"]
+__all__ = ["WORD", "binary", "buffers", "free", "map_arrow", "ranked", "shared_dir", "slices", "spread", "stored", "table"]
 
 #: The words of the contracts: runs of bytes other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -33,15 +33,16 @@ def map_arrow(df: DataFrame, f, schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
 
 
-def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, salts: int) -> DataFrame:
-    """df with a gapless rank from 0 within keys, under name.
+def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str, salts: int | Column, salt: str | None = None) -> DataFrame:
+    """df with a gapless rank from 0 within keys, under name. df must be written already, so that both readings agree.
 
-    A key may hold a third of all rows, so no task gets a whole key: rows are dealt out by key and a salt made from the order columns, numbered there,
-    and moved up by the counts of the key's smaller salts (a table of at most salts rows a key). The order is that of (salt, order columns); rows equal in
-    all order columns take their numbers in any order. Nulls are a key like any other.
+    A key may hold a third of all rows, so no task gets a whole key: rows are dealt out by key and a salt, numbered there, and moved up by the counts of the
+    key's smaller salts (a table of at most salts rows a key). The salt is made from the order columns, or from the column salt where one is given: a stored
+    value that tells even equal rows apart, so that copies of one row are dealt out too. The order is that of (salt, order columns); rows equal in all order
+    columns take their numbers in any order. Nulls are a key like any other.
     """
-    salt = F.pmod(F.xxhash64(*order), F.lit(salts)).cast("int")
-    df = df.withColumn("_salt", salt).withColumns({f"_k{i}": F.coalesce(F.xxhash64(k), F.lit(0)) for i, k in enumerate(keys)})
+    made = F.pmod(F.xxhash64(*([salt] if salt else order)), F.lit(salts) if isinstance(salts, int) else salts).cast("int")
+    df = df.withColumn("_salt", made).withColumns({f"_k{i}": F.coalesce(F.xxhash64(k), F.lit(0)) for i, k in enumerate(keys)})
     ks = [f"_k{i}" for i in range(len(keys))]
     counts = df.groupBy(*ks, "_salt").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*ks).orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1) if ks else Window.orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -52,6 +53,14 @@ def ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str,
     return out.withColumn(name, F.col("_rn").cast("long") + F.col("_base")).drop("_rn", "_base", "_salt", *ks)
 
 
+def free(name: str, taken: Sequence[str]) -> str:
+    """name, with as many underscores before it as it takes to be none of taken."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name
+
+
 def binary(column: pa.Array) -> pa.Array:
     """A string or binary column as binary, without nulls (they become empty)."""
     if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):

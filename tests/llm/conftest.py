@@ -24,7 +24,7 @@ def docs(spark):
     from pyspark.sql import functions as F
 
     rows = spark.createDataFrame(ROWS, SCHEMA)
-    return rows.withColumns({c: F.lit("x") for c in ("rank", "shard", "size", "fingerprint", "start", "length", "taken", "target", "digest", "ids", "unit")})
+    return rows.withColumns({c: F.lit("x") for c in ("rank", "shard", "size", "fingerprint", "start", "length", "taken", "target", "digest", "ids", "unit", "row", "source_size", "text_hash", "_hash", "_id", "_cuts", "cuts", "toxic", "expected_severity", "severity_grade", "salt", "bin", "id", "hash", "key")})
 
 
 @pytest.fixture(scope="session")

@@ -1,7 +1,9 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
+import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,6 +70,22 @@ def test_chain_keys_meet_all_near_pairs(spark):
     assert met.where("not met").count() == 0
 
 
+def test_chain_filter_holds_for_near_pairs_and_drops_others():
+    rng = random.Random(6)
+    diffs = [sum(1 << b for b in rng.sample(range(64), n)) for n in (0, 1, 2, 3, 4) for _ in range(300)]
+    passed = np.array([simhash.chained(np.array(diffs, np.uint64), s) for s in range(5)])
+    assert passed.any(0).all()  # within the distance, some chain stays within its budgets
+    widths, low = simhash.SEGMENTS, [0]
+    for w in widths:
+        low.append(low[-1] + w)
+    for i, d in enumerate(diffs):
+        for s in range(5):
+            parts = [bin(d >> low[(s + j) % 5] & (1 << widths[(s + j) % 5]) - 1).count("1") for j in range(4)]
+            assert passed[s][i] == all(sum(parts[: n + 1]) <= (n + 1) * 4 // 5 for n in range(4))
+    far = np.array([rng.getrandbits(64) for _ in range(3000)], np.uint64)
+    assert simhash.chained(far, 0).mean() < 0.01
+
+
 def test_links_in_blocks_connect_as_all_pairs_do(spark):
     rng = random.Random(9)
     base = rng.getrandbits(64)
@@ -114,17 +132,59 @@ def prose(rng, n):
     return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n)).capitalize() + "."
 
 
-def test_units_cover_every_word():
-    rng = random.Random(2)
-    texts = [prose(rng, 90), "", " \n ", "One. Two!\nthree four É cinq", "x" * 50, "a\r\nB  c"]
-    row, unit, words, start, end, digest = passages.units(pa.array([t.encode() for t in texts], pa.binary()))
-    for i, t in enumerate(texts):
-        own = row == i
-        assert words[own].sum() == len(t.encode().split())
-        assert unit[own].tolist() == list(range(own.sum()))
-        pieces = [t[a:b] for a, b in zip(start[own], end[own], strict=True)]
-        assert " ".join(pieces).split() == t.split()
-    assert len(set(digest.tolist())) > 1
+def plain_units(rows, min_words, paragraphs=False):
+    """The spans that repeated_units() gives, by a dictionary."""
+    found, seen, out = [], {}, set()
+    for d, t in {(d, t) for d, t, *_ in rows if t}:
+        parts = re.split(r"(\n[^\S\n]*\n\s*)" if paragraphs else r"([\r\n]+)", t)
+        at = 0
+        for part in parts:
+            words = list(re.finditer(r"[^\x20\x09-\x0D]+", part))
+            if len(words) >= max(1, min_words):
+                key = " ".join(w[0] for w in words)
+                found.append(((d is not None, d or 0, t, at), "".join(c.lower() if c.isascii() else c for c in key), (d, at + words[0].start(), at + words[-1].end(), len(words))))
+            at += len(part)
+    for place, key, _ in sorted(found, key=lambda x: x[0]):
+        seen.setdefault(key, place)
+    for place, key, span in found:
+        if place != seen[key]:
+            out.add((*span, seen[key][1] if seen[key][0] else None))
+    return out
+
+
+@pytest.mark.parametrize("copies", [1, 2, 3])
+@pytest.mark.parametrize("min_words,paragraphs", [(1, False), (3, False), (1, True)])
+def test_repeated_lines_and_paragraphs_equal_a_plain_version(spark, copies, min_words, paragraphs):
+    rng = random.Random(copies)
+    lines = ["yes.", "Yes.", "all  rights reserved.", "All rights\treserved.", "émile a  b c", "one two three four", "", "  "]
+    rows = [(i, "".join(rng.choice(lines) + rng.choice(["\n", "\n\n", "\r\n", "\n \n"]) for _ in range(rng.randint(0, 6)))) for i in range(30)]
+    rows += [(None, "yes.\nno id"), (99, None), (100, ""), (0, "another text of an id\nYES.")]
+    df = spark.createDataFrame(rows * copies, "doc_id long, text string")
+    got = passages.repeated_units(df, min_words, paragraphs).select("doc_id", "start", "end", "words", "kept_doc_id").collect()
+    assert len(got) == len(set(got))  # a repeated row is one document
+    # of one doc_id, texts rank by their hashes here and by themselves there; no kept_doc_id can tell
+    assert set(map(tuple, got)) == plain_units(rows, min_words, paragraphs) or {x[:1] + x[3:] for x in map(tuple, got)} == {x[:1] + x[3:] for x in plain_units(rows, min_words, paragraphs)}
+
+
+@pytest.mark.parametrize("copies", [1, 2, 3])
+def test_repeated_rows_change_no_spans(spark, copies):
+    rng = random.Random(8)
+    rows = []
+    for i in range(20):  # 13 shared words are no passage, however often their document is given; 30 are
+        short, long = prose(random.Random(50), 13), prose(random.Random(51), 30)
+        rows.append((i, f"{prose(rng, 30)} {short if i < 4 else ''}\n{prose(rng, 26)[:-1]} {long if i > 15 else ''} {prose(rng, 9)}"))
+    found = passages.repeated_spans(spark.createDataFrame(rows * copies, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["kept_doc_id"]) for r in found) == [(17, 16), (18, 16), (19, 16)]
+    text = dict(rows)
+    assert all(text[r["doc_id"]][r["start"] : r["end"]].rstrip() == long for r in found)
+
+
+def test_a_row_that_is_a_third_of_the_table(spark):
+    rng = random.Random(9)
+    passage = prose(rng, 60)
+    rows = [(1, passage)] + [(2, passage)] * 400 + [(None, passage + " x")] + [(10 + i, prose(rng, 30)) for i in range(800)]
+    found = passages.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sorted((r["doc_id"], r["kept_doc_id"], r["words"]) for r in found) == [(1, None, 60), (2, None, 60)]
 
 
 def test_planted_passages(spark):
