@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fernweave.functions import text as tx
 from fernweave.operators import communities, detail, diff, enrich, extract, ranking, search, traverse, vectors
-from fernweave.sources.star import STAR_SQL, load, star_edges, star_graph, star_nodes
+from fernweave.sources.star import STAR_SQL, load, star_graph
 from fernweave.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -179,25 +179,25 @@ def fuzzy_match(spark, sf_dir):
 
 
 def docs_graph(spark, sf_dir):
-    """Documents with the parts that they are about: document k and part k, as far as there are parts."""
+    """Documents with the parts that they are about: document k and part k, as far as there are parts. Whole texts are searched; 40 characters are shown as label."""
     from fernweave.graph import Graph
 
     g, docs = star_graph(spark, sf_dir), load(spark, sf_dir, "documents")
-    nodes = docs.select(F.concat(F.lit("document:"), F.col("doc_id").cast("string")).alias("id"), F.substring("text", 1, 40).alias("label"), F.lit("document").alias("type"), "source", F.lit(None).cast("string").alias("repo"), F.col("lang").alias("community"), F.lit(None).cast("string").alias("properties"), F.lit(None).cast("long").alias("ord"))
+    nodes = docs.select(F.concat(F.lit("document:"), F.col("doc_id").cast("string")).alias("id"), F.substring("text", 1, 40).alias("label"), F.lit("document").alias("type"), "source", F.lit(None).cast("string").alias("repo"), F.col("lang").alias("community"), F.col("text").alias("properties"), F.lit(None).cast("long").alias("ord"))
     nodes = nodes.select("id", "label", "type", F.col("source").alias("source_file"), "repo", "community", "properties", "ord")
     edges = docs.select(F.concat(F.lit("document:"), F.col("doc_id").cast("string")).alias("src"), F.concat(F.lit("part:"), F.col("doc_id").cast("string")).alias("dst"), F.lit("references").alias("type"), F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("long").alias("ord"))
     return Graph(g.nodes.unionByName(nodes), g.edges.unionByName(edges))
 
 
-DOCS = ", docs AS (SELECT 'document:' || doc_id AS id, substring(text, 1, 40) AS label, 'document' AS type, source AS source_file, NULL::VARCHAR AS repo, doc_id FROM documents)"
+DOCS = ", docs AS (SELECT 'document:' || doc_id AS id, substring(text, 1, 40) AS label, 'document' AS type, source AS source_file, NULL::VARCHAR AS repo, doc_id, text FROM documents)"
 
 
-@query(f"{DOCS} SELECT id, label, type, source_file, repo FROM docs WHERE {terms_sql(['the', 'src1'], ['label', 'source_file'])} ORDER BY label, id LIMIT 30")
+@query(f"{DOCS} SELECT id, label, type, source_file, repo FROM docs WHERE {terms_sql(['the', 'src1'], ['label', 'source_file', 'text'])} ORDER BY label, id LIMIT 30")
 def docs_search(spark, sf_dir):
     return search.search_docs(docs_graph(spark, sf_dir), "THE src1", 30)
 
 
-@query(f"{DOCS}, h AS (SELECT id, doc_id FROM docs WHERE {terms_sql(['the', 'src1'], ['label', 'source_file'])} ORDER BY label, id LIMIT 30) SELECT n.id, n.label, n.type, n.source_file FROM nodes n JOIN h ON n.id = 'part:' || h.doc_id ORDER BY n.label, n.id LIMIT 10")
+@query(f"{DOCS}, h AS (SELECT id, doc_id FROM docs WHERE {terms_sql(['the', 'src1'], ['label', 'source_file', 'text'])} ORDER BY label, id LIMIT 30) SELECT n.id, n.label, n.type, n.source_file FROM nodes n JOIN h ON n.id = 'part:' || h.doc_id ORDER BY n.label, n.id LIMIT 10")
 def docs_linked_code(spark, sf_dir):
     g = docs_graph(spark, sf_dir)
     return search.linked_code(g, search.search_docs(g, "THE src1", 30))
@@ -254,9 +254,12 @@ def shortest_path_cost(spark, sf_dir):
     return path.where("id = 'part:42'").select(F.round("cost", 6).alias("cost"))
 
 
-@query()
+WEIGHTS = "CASE type WHEN 'calls' THEN 10 WHEN 'imports' THEN 5 WHEN 'imports_from' THEN 5 WHEN 'contains' THEN 3 END"
+
+
+@query(f", walk(id, hops, cost) AS (SELECT 'region:1', 0, 0 UNION SELECT dst, hops + 1, cost + {WEIGHTS} FROM walk JOIN edges ON src = id WHERE type <> 'references' AND cost < 100 AND hops < 6), best AS (SELECT id, min(cost) AS cost FROM walk GROUP BY id), prevs AS (SELECT e.dst AS id, min(struct_pack(src := e.src, type := e.type)) AS p FROM edges e JOIN best a ON a.id = e.src JOIN best b ON b.id = e.dst WHERE type <> 'references' AND a.cost + {WEIGHTS} = b.cost GROUP BY 1), back(id, k) AS (SELECT id, 0 FROM best WHERE id = 'part:42' UNION ALL SELECT p.src, k + 1 FROM back JOIN prevs ON prevs.id = back.id WHERE back.id <> 'region:1') SELECT (max(k) OVER () - k)::INT AS step, n.id, n.label, n.source_file, CASE WHEN n.id <> 'region:1' THEN prevs.p.type END AS edge_type, best.cost / 10 AS cost FROM back JOIN nodes n ON n.id = back.id JOIN best ON best.id = back.id LEFT JOIN prevs ON prevs.id = back.id")
 def shortest_path_steps(spark, sf_dir):
-    return traverse.shortest_path(star_graph(spark, sf_dir), "region:1", "part:42")
+    return traverse.shortest_path(star_graph(spark, sf_dir), "region:1", "part:42").withColumn("cost", F.round("cost", 6))
 
 
 BOUNDARY = ", m AS (SELECT id, coalesce(community, 'unclustered') AS c FROM nodes), x AS (SELECT src, dst, a.c = b.c AS same FROM edges JOIN m a ON src = a.id JOIN m b ON dst = b.id), y AS (SELECT src AS id, same FROM x UNION ALL SELECT dst, same FROM x), z AS (SELECT n.id, count(*) FILTER (WHERE same) AS i, count(*) FILTER (WHERE NOT same) AS e FROM nodes n LEFT JOIN y USING (id) GROUP BY 1)"
@@ -289,26 +292,31 @@ def apply_routing(spark, sf_dir):
     return enrich.apply_routing(g, g.nodes.where("type = 'supplier'").select("id", F.lit("0").alias("to"), F.lit(1).alias("ord")))
 
 
-def nation_graph(spark, sf_dir):
-    """Regions, nations, customers and suppliers, with a supplier and a customer linked by each order between them: a graph with communities to find."""
-    from fernweave.graph import Graph
-
-    nodes = star_nodes(spark, sf_dir).where(F.col("type").isin("region", "nation", "customer", "supplier"))
-    return Graph(nodes, star_edges(spark, sf_dir).where("type = 'contains'"))
+# Components in SQL over numbers in the order of the ids: labels spread round by round until no smaller one meets a node.
+NUMBERED = ", num AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) AS k FROM nodes), u AS MATERIALIZED (SELECT a.k AS a, b.k AS b FROM edges JOIN num a ON a.id = src JOIN num b ON b.id = dst UNION SELECT b.k, a.k FROM edges JOIN num a ON a.id = src JOIN num b ON b.id = dst)"
+SPREAD = ", cc(k, c) USING KEY (k) AS (SELECT num.k, least(num.k, coalesce(min(u.b), num.k)) FROM num LEFT JOIN u ON u.a = num.k GROUP BY num.k UNION SELECT x.b, x.c FROM (SELECT u.b, min(cc.c) AS c FROM cc JOIN u ON u.a = cc.k GROUP BY u.b) x JOIN recurring.cc AS r ON r.k = x.b WHERE x.c < r.c)"
 
 
-@query("SELECT id, min(id) OVER (PARTITION BY community) AS component FROM nodes WHERE type IN ('nation', 'customer', 'supplier')")
+@query(f"{NUMBERED}{SPREAD} SELECT n.id, m.id AS component FROM cc JOIN num n ON n.k = cc.k JOIN num m ON m.k = cc.c")
 def connected_components(spark, sf_dir):
-    """Without the regions, each nation with its customers and suppliers is a component."""
+    """Over every node and edge: parts of which nothing is sold are components of their own."""
+    return communities.connected_components(star_graph(spark, sf_dir))
+
+
+@query("SELECT id, min(id) OVER (PARTITION BY community) AS component FROM nodes WHERE type IN ('nation', 'customer', 'supplier', 'order')")
+def connected_components_by_nation(spark, sf_dir):
+    """Without regions and parts, each nation with its customers, their orders and its suppliers is a component."""
     from fernweave.graph import Graph
 
-    g = nation_graph(spark, sf_dir)
-    return communities.connected_components(Graph(g.nodes.where("type <> 'region'"), g.edges.where("src not like 'region:%'")))
+    g = star_graph(spark, sf_dir)
+    inner = g.edges.where("src not like 'region:%' and src not like 'part:%' and dst not like 'part:%' and type <> 'references'")
+    return communities.connected_components(Graph(g.nodes.where("type not in ('region', 'part')"), inner))
 
 
 @query()
 def louvain_communities(spark, sf_dir):
-    return communities.louvain(nation_graph(spark, sf_dir))
+    """Over every node and edge."""
+    return communities.louvain(star_graph(spark, sf_dir))
 
 
 @query(", m AS (SELECT id, coalesce(community, 'none') AS c FROM nodes), s AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst), x AS (SELECT p.c AS ca, q.c AS cb FROM s JOIN m p ON p.id = a JOIN m q ON q.id = b), d AS (SELECT c, count(*)::DOUBLE AS d FROM (SELECT ca AS c FROM x UNION ALL SELECT cb FROM x) GROUP BY 1), t AS (SELECT count(*)::DOUBLE AS m, count(*) FILTER (WHERE ca = cb)::DOUBLE AS i FROM x) SELECT round(i / m - (SELECT sum(d * d) FROM d) / (4 * m * m), 9) AS modularity FROM t")
@@ -377,11 +385,13 @@ def next_fit_batches(spark, sf_dir):
     return enrich.next_fit(docs, 4096)
 
 
-@query("WITH o AS (SELECT 'd' || doc_id AS path, md5(text) AS h FROM documents WHERE doc_id % 7 <> 0), n AS (SELECT 'd' || doc_id AS path, md5(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 11 <> 0) SELECT coalesce(o.path, n.path) AS path, CASE WHEN n.path IS NULL THEN 'removed' WHEN o.path IS NULL THEN 'added' WHEN o.h <> n.h THEN 'changed' ELSE 'unchanged' END AS change FROM o FULL JOIN n USING (path)", graph=False)
+@query("WITH o AS (SELECT CASE WHEN doc_id % 7 = 0 THEN 'old/' ELSE 'd' END || doc_id AS path, md5(text) AS h FROM documents), n AS (SELECT CASE WHEN doc_id % 11 = 0 THEN 'new/' ELSE 'd' END || doc_id AS path, md5(CASE WHEN doc_id % 5 = 0 THEN text || '!' ELSE text END) AS h FROM documents) SELECT coalesce(o.path, n.path) AS path, CASE WHEN n.path IS NULL THEN 'removed' WHEN o.path IS NULL THEN 'added' WHEN o.h <> n.h THEN 'changed' ELSE 'unchanged' END AS change FROM o FULL JOIN n USING (path)", graph=False)
 def file_diff(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").withColumn("path", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
-    old = docs.where("doc_id % 7 <> 0").select("path", F.md5("text").alias("hash"))
-    new = docs.where("doc_id % 11 <> 0").select("path", F.md5(F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("hash"))
+    """Two snapshots of all documents, some under other paths in one of them, some with other texts."""
+    docs, id_ = load(spark, sf_dir, "documents"), F.col("doc_id")
+    path = lambda k, folder: F.concat(F.when(id_ % k == 0, F.lit(folder)).otherwise(F.lit("d")), id_.cast("string")).alias("path")
+    old = docs.select(path(7, "old/"), F.md5("text").alias("hash"))
+    new = docs.select(path(11, "new/"), F.md5(F.when(id_ % 5 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))).alias("hash"))
     return diff.file_diff(old, new)
 
 

@@ -27,13 +27,14 @@ def _expand(g: Graph, steps: DataFrame, start: DataFrame, max_depth: int, passes
     A node is found by the first of its shortest paths, in the order in which a queue would take them: paths compare step by step. A level is one join, one
     anti-join and one aggregation; it is written before the next begins.
     """
+    steps = stored(steps, f"{label}-steps")  # every level reads them again
     front = stored(start.select("id", F.array().cast(f"array<{STEP}>").alias("path")), f"{label}-start")
+    known = stored(g.nodes.select("id", "label", "type", "source_file", "repo"), f"{label}-nodes")
     seen, out = front.select("id"), None
     for depth in range(1, max_depth + 1):
         met = front.join(steps, "id").select("next", F.concat("path", F.array(F.col("step").cast(STEP))).alias("path"), "type", F.col("id").alias("via"))
         new = met.join(seen.withColumnRenamed("id", "next"), "next", "left_anti").groupBy("next").agg(F.min(F.struct("path", "type", "via")).alias("f"))
         new = new.select(F.col("next").alias("id"), "f.path", F.col("f.type").alias("edge_type"), "f.via")
-        known = g.nodes.select("id", "label", "type", "source_file", "repo")
         new = stored(new.join(known, "id", "left").withColumn("ok", F.col("label").isNotNull() & passes).withColumn("depth", F.lit(depth)), f"{label}-{depth}")
         seen = seen.unionAll(new.select("id"))
         reported = new.where("ok").drop("ok")
@@ -113,6 +114,8 @@ def shortest_path(g: Graph, start: str, goal: str, max_depth: float = 10, edge_t
     if g.nodes.where(F.col("id").isin(start, goal)).select("id").distinct().count() < len({start, goal}):
         return spark.createDataFrame([], schema)
     best = front = spark.createDataFrame([(start, 0.0, None, None)], row)
+    if start != goal:
+        edges = stored(edges, "path-edges")  # every round reads them again
     for k in range(rounds if start != goal else 0):
         met = front.where(F.col("cost") < max_depth).join(edges, front["id"] == edges["src"]).groupBy("dst").agg(F.min(F.struct((F.col("cost") + F.col("w")).alias("cost"), F.col("src").alias("prev"), "type")).alias("m"))
         met = met.select(F.col("dst").alias("id"), "m.cost", "m.prev", F.col("m.type").alias("edge_type"))
@@ -122,6 +125,9 @@ def shortest_path(g: Graph, start: str, goal: str, max_depth: float = 10, edge_t
         least, target = front.agg(F.min("cost")).first()[0], best.where(F.col("id") == goal).select("cost").first()
         if least is None or (target and least >= target[0]):
             break
+    else:
+        if start != goal:
+            raise RuntimeError(f"the costs did not settle in {rounds} rounds")
     path, at = [], goal
     while at is not None:  # at most a row a step
         found = best.where(F.col("id") == at).first()

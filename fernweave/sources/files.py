@@ -83,6 +83,6 @@ def read_files(files: DataFrame, root: str) -> DataFrame:
     return files.select("path").mapInPandas(read, "path string, text string, hash string")
 
 
-def census(files: DataFrame, most: int = MOST_FILES) -> DataFrame:
-    """(extension, n) over at most so many files; names without an ending and dotfiles are left out."""
-    return files.limit(most).select(extension(F.col("path")).alias("extension")).where("extension <> ''").groupBy("extension").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "extension")
+def census(files: DataFrame, most: int | None = MOST_FILES) -> DataFrame:
+    """(extension, n) over at most so many files (None: all); names without an ending and dotfiles are left out."""
+    return (files if most is None else files.limit(most)).select(extension(F.col("path")).alias("extension")).where("extension <> ''").groupBy("extension").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "extension")
