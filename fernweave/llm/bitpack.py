@@ -91,60 +91,88 @@ class PackedFile:
         return self.ids(int(self.starts[k]), int(self.starts[k + 1]))
 
 
+ENCODED = "doc_id long, n long, bits binary, salt long"
 FILES = "part long, file long, n_docs long, n_ids long, data binary"
 
 
+def encoded(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID) -> tuple[DataFrame, int]:
+    """(doc_id, n, bits, salt: a row a document, its ids with the end id as one run of fixed-width bits; written to the shared folder, the width).
+
+    The tokenizer runs here and nowhere else: what is shuffled into order later are packed ids, less than half of the texts' bytes.
+    """
+    path = tokenizer or default_tokenizer()
+    bits = width(max(encoder(path).vocabulary(), end_id + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code = encoder(path)
+        for batch in batches:
+            for row, texts in slices(binary(batch.column(1)), 1 << 20):
+                flat, count = code.encode(texts)
+                with_end = count + 1
+                ids = np.full(int(with_end.sum()), end_id, np.uint32)
+                ids[spread(np.cumsum(with_end) - with_end, count)] = flat
+                if len(ids) and int(ids.max()) >> bits:
+                    raise ValueError(f"an id needs more than {bits} bits")
+                ends = np.cumsum(with_end)
+                data = pa.array([pack_bits(ids[e - n : e], bits).tobytes() for e, n in zip(ends.tolist(), with_end.tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(texts)), pa.array(with_end), data, batch.column(2).slice(row, len(texts))], names=["doc_id", "n", "bits", "salt"])
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"))
+    return stored(map_arrow(source, run, ENCODED), "encoded"), bits
+
+
 def packed_files(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, file_ids: int = FILE_IDS) -> DataFrame:
     """Every text of docs (doc_id, text) as token ids in files, in ascending doc_id order: a row a file with its place (part, file), written to the shared folder.
 
-    Null texts are empty; null doc_ids come first; rows with one doc_id are all kept, in the order of their texts. Other columns are not read.
-    The texts are range-partitioned by doc_id, so a part holds a range; a file holds about file_ids ids, more only for one long document.
+    Null texts are empty; null doc_ids come first; rows with one doc_id are all kept, in any order. Other columns are not read.
+    The packed ids are range-partitioned by doc_id and a stored salt, so that a doc_id of very many rows is divided; a file holds about file_ids ids, more only
+    for one long document. A task holds one file's ids.
     """
-    path = tokenizer or default_tokenizer()
+    rows, bits = encoded(docs, tokenizer, end_id)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, code = TaskContext.get().partitionId(), encoder(path)
-        bits, keys, counts, flats, file, held = width(max(code.vocabulary(), end_id + 1)), [], [], [], 0, 0
+        part, file, held = TaskContext.get().partitionId(), 0, 0
+        keys: list = []
+        counts: list[int] = []
+        flat: list[np.ndarray] = []
 
         def close() -> pa.RecordBatch:
-            count = np.concatenate(counts)
-            data = write_file(keys, count, np.concatenate(flats), bits)
-            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, file, len(keys), int(count.sum()))] + [pa.array([data], pa.binary())], names=["part", "file", "n_docs", "n_ids", "data"])
+            data = write_file(keys, np.array(counts, np.int64), np.concatenate(flat), bits)
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in (part, file, len(keys), sum(counts))] + [pa.array([data], pa.binary())], names=["part", "file", "n_docs", "n_ids", "data"])
 
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for row, texts in slices(binary(batch.column(1)), 2 << 20):
-                flat, count = code.encode(texts)
-                with_end = count + 1
-                out = np.full(int(with_end.sum()), end_id, np.uint32)
-                out[spread(np.cumsum(with_end) - with_end, count)] = flat
-                keys += ids[row : row + len(texts)]
-                counts.append(with_end)
-                flats.append(out)
-                held += len(out)
+            for key, n, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                keys.append(key)
+                counts.append(n)
+                flat.append(unpack_bits(np.frombuffer(data.as_buffer(), np.uint8), bits, n))
+                held += n
                 if held >= file_ids:
                     yield close()
-                    keys, counts, flats, file, held = [], [], [], file + 1, 0
+                    keys, counts, flat, file, held = [], [], [], file + 1, 0
         if keys:
             yield close()
 
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id", "salt").sortWithinPartitions("doc_id", "salt").select("doc_id", "n", "bits")
     return stored(map_arrow(ordered, build, FILES), "packed", "snappy")
 
 
+def file_starts(files: DataFrame) -> DataFrame:
+    """(part, file, base): the ids before each of packed_files(). Running sums go over the parts, a row a partition, and within a part."""
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    inner = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    heads = files.select("part", "file", inner.alias("inner")).join(before, "part")
+    return heads.select("part", "file", (F.col("inner") + F.col("before")).alias("base"))
+
+
 def read_documents(files: DataFrame) -> DataFrame:
-    """The documents of packed_files(), read back: doc_id, start (ids before it in all files), ids (little-endian uint32)."""
-    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))  # a row a partition, not a document
-    before = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    heads = files.select("part", "file", "n_ids")
-    inner = Window.partitionBy("part").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
-    heads = heads.withColumn("_inner", F.coalesce(F.sum("n_ids").over(inner), F.lit(0))).drop("n_ids").join(before, "part").select("part", "file", (F.col("_inner") + F.col("_before")).alias("base"))
+    """The documents of packed_files(), read back where the files stand: part, file, doc_id, at (ids before it in its file), ids (little-endian uint32)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for base, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for part, number, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 file = PackedFile(data.as_buffer())
                 for k in range(0, len(file.doc_ids), 256):
                     docs = file.doc_ids[k : k + 256]
@@ -152,13 +180,18 @@ def read_documents(files: DataFrame) -> DataFrame:
                     ids = file.ids(int(starts[0]), int(starts[-1])).astype("<u4").view(np.uint8)
                     at = ((starts - starts[0]) * 4).astype(np.int64)
                     values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(docs), [None, pa.py_buffer(at), pa.py_buffer(ids)]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(starts[:-1] + base, pa.int64()), values], names=["doc_id", "start", "ids"])
+                    where = [pa.array(np.full(len(docs), x, np.int64)) for x in (part, number)]
+                    yield pa.RecordBatch.from_arrays([*where, pa.array(docs, pa.int64()), pa.array(starts[:-1]), values], names=["part", "file", "doc_id", "at", "ids"])
+
+    return map_arrow(files.select("part", "file", "data"), read, "part long, file long, doc_id long, at long, ids binary")
+
 
-    joined = files.select("part", "file", "data").join(heads, ["part", "file"]).select("base", "data")
-    return map_arrow(joined, read, "doc_id long, start long, ids binary")
+def placed(files: DataFrame) -> DataFrame:
+    """Every document's place and digest, from the files as read back: doc_id, start (ids before it in all files), n_tokens, ids_crc32. No ids are shuffled."""
+    docs = read_documents(files).select("part", "file", "doc_id", "at", F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return docs.join(file_starts(files), ["part", "file"]).select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op4_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place and digest in the packed files, from the files as read back."""
-    docs = read_documents(packed_files(table(spark, sf_dir, "documents")))
-    return docs.select("doc_id", "start", F.expr("cast(length(ids) div 4 as long)").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+    return placed(packed_files(table(spark, sf_dir, "documents")))

@@ -57,15 +57,39 @@ def test_ids_too_large_are_refused():
 
 
 def test_packed_files(docs, empty):
-    out = bitpack.read_documents(bitpack.packed_files(docs, file_ids=64)).collect()
-    rows = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
-    at = 0
-    got = sorted(out, key=lambda r: r["start"])
-    for want, row, ids in zip(rows, got, plain([r[1] for r in rows]), strict=True):
-        assert (row["doc_id"], row["start"]) == (want[0], at)
-        assert np.frombuffer(row["ids"], "<u4").tolist() == [*ids, 2]
-        at += len(ids) + 1
-    assert bitpack.read_documents(bitpack.packed_files(empty)).count() == 0
+    files = bitpack.packed_files(docs, file_ids=64)
+    ids = [[*x, 2] for x in plain([r[1] for r in ROWS])]
+    want = sorted(((r[0], x) for r, x in zip(ROWS, ids, strict=True)), key=str)
+    read = bitpack.read_documents(files).collect()
+    assert sorted(((r["doc_id"], np.frombuffer(r["ids"], "<u4").tolist()) for r in read), key=str) == want
+    at, crc = 0, {zlib.crc32(np.array(x, "<u4").tobytes()): x for x in ids}
+    got = sorted(bitpack.placed(files).collect(), key=lambda r: r["start"])
+    assert [r["doc_id"] is not None and r["doc_id"] for r in got] == sorted(r[0] is not None and r[0] for r in ROWS)  # null first; in any order within an id
+    for row in got:
+        assert (row["start"], row["n_tokens"]) == (at, len(crc[row["ids_crc32"]]))
+        at += row["n_tokens"]
+    assert sorted(((r["doc_id"], crc[r["ids_crc32"]]) for r in got), key=str) == want
+    assert bitpack.placed(bitpack.packed_files(empty)).count() == 0
+
+
+def test_a_hot_doc_id_is_dealt_out(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(None, "the same")] * 400 + [(i, f"text {i}") for i in range(800)]
+    files = bitpack.packed_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), file_ids=8)
+    null = bitpack.read_documents(files).where("doc_id is null").groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert sum(r["n"] for r in null) == 400
+    found = packing.pieces(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert found.where("doc_id is null").select("salt").distinct().count() == 400
+
+
+def test_query_has_the_contracts_columns(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    out = bitpack.op4_packed_ids(spark, str(tmp_path))
+    assert out.dtypes == [("doc_id", "bigint"), ("start", "bigint"), ("n_tokens", "bigint"), ("ids_crc32", "bigint")] and out.count() == len(ROWS)
+    out = packing.op2_packing(spark, str(tmp_path))
+    want = {"doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"}
+    assert {c: t for c, t in out.dtypes if c in want} == dict.fromkeys(want, "bigint")
 
 
 def test_class_sizes_match_the_column_form(spark):
