@@ -14,16 +14,21 @@ from .common import stored, table
 from .components import contract
 
 TOP = 20
-#: Shards; more where one would hold more vectors or bytes than these.
+#: A shard holds about this many vectors where that makes fewer than SHARDS shards; else there are SHARDS, or more where one would hold more rows or bytes than these.
+SHARD_LEAST = 4096
 SHARDS = 8
 SHARD_ROWS = 100_000
 SHARD_BYTES = 64 << 20
 #: Links a node keeps on the upper levels, and twice that on the lowest; the chance to reach the next level is one in LINKS.
 LINKS = 16
-#: The beam on the lowest level and on those above it; nodes that a step expands.
-BEAM, UPPER_BEAM, EXPAND = 320, 32, 8
-#: A level of at most this many nodes is the top; it is searched whole.
-TOP_NODES = 256
+#: Links more that a node may get where a part of a level could not be reached else.
+SPARE = 2
+#: The beam of a new node; that of a query on the lowest level and on those above it (the former where a level is small); nodes that a step expands.
+BUILD_BEAM, BEAM, UPPER_BEAM, EXPAND = 64, 256, 64, 8
+#: New nodes are linked in batches: no more than there are nodes already, nor than this many.
+BATCH = 512
+#: A level above of at most this many nodes is compared whole for where to link a new node; queries never are.
+SMALL = 1024
 #: Queries that one task searches a shard for.
 QUERY_BLOCK = 5000
 SEED = 42
@@ -54,59 +59,187 @@ def prune(block: np.ndarray, candidates: np.ndarray, x: np.ndarray, keep: int) -
     return np.take_along_axis(candidates, order, 1)
 
 
-def link(x: np.ndarray, nodes: np.ndarray, keep: int, chunk: int = 256) -> np.ndarray:
-    """Neighbours (rows of x; -1 fills up) of each of nodes among them, 2 * keep at most: keep pruned ones, and the nodes that chose this one."""
-    n = len(nodes)
-    own = x[nodes]
-    sq = (own * own).sum(1)
-    width = min(2 * keep, n - 1)
-    out = np.full((n, 2 * keep), -1, np.int32)
-    if width < 1:
-        return out
-    chosen = np.full((n, keep), -1, np.int64)
-    for a in range(0, n, chunk):
-        rows = np.arange(a, min(a + chunk, n))
-        d = sq[None, :] - 2 * (own[rows] @ own.T)
-        d[np.arange(len(rows)), rows] = np.inf
-        near = np.argpartition(d, width - 1, 1)[:, :width]
-        near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), 1, kind="stable"), 1)
-        got = prune(rows, near, own, keep)
-        chosen[rows, : got.shape[1]] = got
-    out[:, :keep] = chosen
-    source, target = np.repeat(np.arange(n), keep), chosen.ravel()
-    source, target = source[target >= 0], target[target >= 0]
-    step = 1 << 16
-    dist = np.concatenate([((own[source[a : a + step]] - own[target[a : a + step]]) ** 2).sum(1) for a in range(0, len(source), step)])
-    order = np.lexsort((dist, target))
-    source, target = source[order], target[order]
-    rank = np.arange(len(target)) - np.searchsorted(target, target)
-    fit = rank < keep
-    out[target[fit], keep + rank[fit]] = source[fit]
-    return np.where(out >= 0, nodes[np.maximum(out, 0)], -1).astype(np.int32)
-
-
-def firsts(nodes: np.ndarray, links: np.ndarray) -> np.ndarray:
-    """Of nodes, the first of each component of links, where there is more than one."""
-    source, target = np.repeat(nodes, links.shape[1]), links.ravel().astype(np.int64)
-    moved = contract(source[target >= 0], target[target >= 0])[0]
-    first = ~np.isin(nodes, moved)
-    return first if first.sum() > 1 else np.zeros(len(nodes), bool)
+def beam_search(x: np.ndarray, place: np.ndarray, links: np.ndarray, q: np.ndarray, rows: np.ndarray, scores: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of x, inner products; beam of them, in no order; -1 and -inf fill up): the best that a beam finds on a level for each of q, from rows on.
+
+    place[r] is row r's place in links, whose values are rows of x. All queries go on at once; a step expands the EXPAND best of each that are not expanded yet.
+    """
+    n, m = len(x), len(q)
+    width = max(beam, rows.shape[1])
+    ids = np.full((m, width), -1, np.int64)
+    best = np.full((m, width), -np.inf, np.float32)
+    ids[:, : rows.shape[1]], best[:, : rows.shape[1]] = rows, np.where(rows >= 0, scores, -np.inf)
+    seen = np.zeros((m, n), bool)
+    seen[np.repeat(np.arange(m), rows.shape[1])[(rows >= 0).ravel()], rows[rows >= 0]] = True
+    done = ids < 0
+    live = np.arange(m)
+    while len(live):
+        open_ = np.where(done[live], -np.inf, best[live])
+        k = min(EXPAND, width)
+        pick = np.argpartition(-open_, k - 1, 1)[:, :k]
+        valid = np.isfinite(np.take_along_axis(open_, pick, 1))
+        some = valid.any(1)
+        live, pick, valid = live[some], pick[some], valid[some]
+        if not len(live):
+            break
+        chosen = np.where(valid, ids[live[:, None], pick], -1)
+        done[live[:, None], pick] = True
+        near = np.where((chosen >= 0)[:, :, None], links[place[np.maximum(chosen, 0)]], -1).reshape(len(live), -1).astype(np.int64)
+        near = np.sort(near, 1)
+        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
+        near[seen[live[:, None], np.maximum(near, 0)]] = -1
+        r, c = np.nonzero(near >= 0)
+        seen[live[r], near[r, c]] = True
+        score = np.full(near.shape, -np.inf, np.float32)
+        score[r, c] = np.einsum("ij,ij->i", x[near[r, c]], q[live[r]])
+        all_ids = np.concatenate([ids[live], near], 1)
+        all_best = np.concatenate([best[live], score], 1)
+        all_done = np.concatenate([done[live], near < 0], 1)
+        keep = np.argpartition(-all_best, width - 1, 1)[:, :width]
+        ids[live], best[live], done[live] = (np.take_along_axis(z, keep, 1) for z in (all_ids, all_best, all_done))
+    return ids, best
+
+
+def nearest_first(ids: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
+    """Of each row of ids the most of the highest score, in that order; -1 where the score is -inf."""
+    most = min(most, ids.shape[1])
+    top = np.argpartition(-score, most - 1, 1)[:, :most]
+    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(score, top, 1), 1, kind="stable"), 1)
+    return np.where(np.isfinite(np.take_along_axis(score, top, 1)), np.take_along_axis(ids, top, 1), -1)
+
+
+class Level:
+    """A level while it is built: nodes (rows of x), place[row] and links (len(nodes) x width + SPARE, rows; -1 fills up). Vectors all have one norm."""
+
+    def __init__(self, x: np.ndarray, nodes: np.ndarray, keep: int, width: int):
+        self.x, self.nodes, self.keep, self.width = x, nodes, keep, width
+        self.place = np.full(len(x), -1, np.int64)
+        self.place[nodes] = np.arange(len(nodes))
+        self.links = np.full((len(nodes), width + SPARE), -1, np.int32)
+
+    def search(self, q: np.ndarray, entry: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """As beam_search(), from the rows entry (a row a query) on."""
+        score = np.einsum("ijk,ik->ij", self.x[np.maximum(entry, 0)], q)
+        return beam_search(self.x, self.place, self.links, q, entry, score, beam)
+
+    def insert(self, batch: np.ndarray, entry: np.ndarray | None) -> None:
+        """Links the rows batch: to the best of what a search from entry (None: nothing is linked yet) finds and of the batch itself, and those back to them."""
+        q = self.x[batch]
+        score = q @ q.T
+        np.fill_diagonal(score, -np.inf)
+        ids = np.broadcast_to(batch, score.shape)
+        mates = nearest_first(ids, score, 2 * self.keep)
+        candidates = mates
+        if entry is not None:
+            found, best = self.search(q, entry, BUILD_BEAM)
+            mate_score = np.where(mates >= 0, np.einsum("ijk,ik->ij", self.x[np.maximum(mates, 0)], q), -np.inf)
+            candidates = nearest_first(np.concatenate([found, mates], 1), np.concatenate([best, mate_score], 1), BUILD_BEAM)
+        chosen = prune(batch, candidates, self.x, self.keep)
+        self.links[self.place[batch], : chosen.shape[1]] = chosen
+        source, target = np.repeat(batch, chosen.shape[1]), chosen.ravel().astype(np.int64)
+        self.link_back(source[target >= 0], target[target >= 0])
+
+    def link_back(self, source: np.ndarray, target: np.ndarray) -> None:
+        """Adds source to the links of target, pair by pair; a node whose links are full keeps those that prune() takes."""
+        known = (self.links[self.place[target]] == source[:, None]).any(1)
+        source, target = source[~known], target[~known]
+        if not len(source):
+            return
+        score = np.einsum("ij,ij->i", self.x[source], self.x[target])
+        order = np.lexsort((-score, target))
+        source, target = source[order], target[order]
+        rank = np.arange(len(target)) - np.searchsorted(target, target)
+        source, target, rank = source[rank < self.width], target[rank < self.width], rank[rank < self.width]
+        own, at = np.unique(target, return_inverse=True)
+        for a in range(0, len(own), 1024):  # few at a time: prune() compares all candidates of a node with each other
+            part = own[a : a + 1024]
+            mine = (at >= a) & (at < a + len(part))
+            new = np.full((len(part), self.width), -1, np.int64)
+            new[at[mine] - a, rank[mine]] = source[mine]
+            old = self.links[self.place[part], : self.width].astype(np.int64)
+            both = np.concatenate([old, new], 1)
+            score = np.where(both >= 0, np.einsum("ijk,ik->ij", self.x[np.maximum(both, 0)], self.x[part]), -np.inf)
+            held = int((both >= 0).sum(1).max())
+            both = nearest_first(both, score, held)
+            full = (both >= 0).sum(1) > self.width
+            out = np.full((len(part), self.width), -1, np.int64)
+            short = min(self.width, both.shape[1])
+            out[:, :short] = both[:, :short]
+            if full.any():
+                out[full] = prune(part[full], both[full], self.x, self.width)
+            self.links[self.place[part], : self.width] = out
+
+    def reached(self, entry: np.ndarray) -> np.ndarray:
+        """A flag a node of the level: whether links lead to it from the rows entry."""
+        flag = np.zeros(len(self.nodes), bool)
+        front = self.place[entry]
+        flag[front] = True
+        while len(front):
+            step = self.links[front]
+            step = np.unique(self.place[step[step >= 0]])
+            front = step[~flag[step]]
+            flag[front] = True
+        return flag
+
+    def join_up(self, entry: np.ndarray) -> None:
+        """Spare links to whatever can't be reached from entry, so that all nodes can: the first node of each such part, from the nearest that has a spare link."""
+        while True:
+            flag = self.reached(entry)
+            lost = np.flatnonzero(~flag)
+            if not len(lost):
+                return
+            source, target = np.repeat(lost, self.links.shape[1]), self.links[lost].ravel()
+            target = np.where(target >= 0, self.place[np.maximum(target, 0)], -1)
+            inside = (target >= 0) & ~flag[np.maximum(target, 0)]
+            moved = contract(source[inside], target[inside])[0]
+            first = np.setdiff1d(lost, moved)[:BATCH]
+            free = (self.links[:, -SPARE:] < 0).any(1)
+            score = np.where((flag & free)[None, :], self.x[self.nodes[first]] @ self.x[self.nodes].T, -np.inf)
+            taken = np.zeros(len(self.nodes), bool)
+            for k, f in enumerate(first):  # a node takes one a round
+                best = int(np.where(taken, -np.inf, score[k]).argmax())
+                if taken[best] or not np.isfinite(score[k, best]):
+                    if k:
+                        break
+                    self.links = np.concatenate([self.links, np.full((len(self.nodes), SPARE), -1, np.int32)], 1)  # all spare links are used
+                    break
+                taken[best] = True
+                spare = np.flatnonzero(self.links[best, self.width :] < 0)[0] + self.width
+                self.links[best, spare] = self.nodes[f]
+
+
+def entries(x: np.ndarray, batch: np.ndarray, built: list[Level], first: np.ndarray) -> np.ndarray:
+    """Where the search for each of batch starts on a new level: its nearest on the levels above, built from the top down; first if there are none.
+
+    The lowest level of at most SMALL nodes is compared whole, so that new nodes are sent into the right one of far clusters; those below are searched.
+    """
+    small = [k for k, above in enumerate(built) if len(above.nodes) <= SMALL]
+    entry = np.repeat(first[:, None], len(batch), 0)
+    if small:
+        nodes = built[small[-1]].nodes
+        entry = nearest_first(np.broadcast_to(nodes, (len(batch), len(nodes))), x[batch] @ x[nodes].T, 4)
+    for above in built[small[-1] + 1 if small else 0 :]:
+        entry = nearest_first(*above.search(x[batch], entry, UPPER_BEAM), 4)
+    return entry
 
 
 class Graph:
-    """A shard's vectors with the levels of its graph: nodes[l] (rows, ascending) and links[l] (len(nodes[l]) x width, rows; -1 fills up)."""
+    """A shard's vectors with the levels of its graph: nodes[l] (rows) and links[l] (len(nodes[l]) x width, rows; -1 fills up). A search starts at nodes[-1][0]."""
 
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, nodes: list[np.ndarray], links: list[np.ndarray]):
         self.vectors, self.ids, self.nodes, self.links = vectors, ids, nodes, links
         self.x = vectors.astype(np.float32)
+        self.places = [np.full(len(vectors), -1, np.int64) for _ in nodes]
+        for place, own in zip(self.places, nodes, strict=True):
+            place[own] = np.arange(len(own))
 
     @classmethod
     def build(cls, vectors: np.ndarray, ids: np.ndarray, seed: int = SEED) -> Graph:
         """vectors (n, d); ids (n, any), -1 filled up: the smallest vec_ids that have the vector. Levels are drawn by hashing the first id.
 
-        Largest inner product is nearest in Euclidean distance after one more component that makes all norms equal; links are made there. Candidates for links
-        are each node's exact nearest neighbours on its level, found in blocks. A level of tight clusters falls apart into components; a node of each is on the
-        next level too, and so on, so that the top, which is searched whole, has a way into all of them.
+        Largest inner product is nearest in Euclidean distance after one more component that makes all norms equal; links are made there. Nodes enter by levels,
+        the highest first, and within a level in batches of at most as many as it holds: a batch searches the levels above and then its own, links to what
+        it finds there and among itself, and is linked back. At last every node of a level can be reached from those that are on the next level too.
         """
         n = len(vectors)
         x = vectors.astype(np.float32)
@@ -116,68 +249,32 @@ class Graph:
         mixed = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
         u = ((mixed >> np.uint64(11)).astype(np.float64) + 0.5) / 2**53
         level = np.floor(-np.log(u) / np.log(LINKS)).astype(int)
-        nodes, links, own = [], [], np.arange(n)
-        while True:
-            nodes.append(own)
-            links.append(link(x, own, LINKS if not links else LINKS // 2))
-            above = own[(level[own] >= len(nodes)) | firsts(own, links[-1])]
-            if len(own) <= TOP_NODES or not len(above):
-                return cls(vectors, ids, nodes, links)
-            own = above
+        order = np.lexsort((mixed, -level))  # those of higher levels first, in no order else
+        built: list[Level] = []
+        for at in range(int(level.max()), -1, -1):
+            own = order[: int((level >= at).sum())]
+            now = Level(x, own, LINKS, LINKS if at else 2 * LINKS)
+            top = min(len(built[-1].nodes) if built else 1, len(own))
+            held, step = 0, max(32, (32 << 20) // n)
+            while held < len(own):
+                size = min(max(held, 32), BATCH, step) if held else min(64, len(own))
+                batch = own[held : held + size]
+                now.insert(batch, entries(x, batch, built, own[:1]) if held else None)
+                held += len(batch)
+            now.join_up(own[:top])
+            built.append(now)
+        return cls(vectors, ids, [b.nodes for b in reversed(built)], [b.links for b in reversed(built)])
 
     def search(self, queries: np.ndarray, beam: int = BEAM) -> np.ndarray:
         """Rows of the nearest for each query, nearest first, beam of them; -1 fills up."""
         q = queries.astype(np.float32)
-        top = self.nodes[-1]
-        score = q @ self.x[top].T
-        k = min(UPPER_BEAM if len(self.nodes) > 1 else beam, len(top))
-        best = np.argpartition(-score, k - 1, 1)[:, :k]
-        rows, scores = top[best], np.take_along_axis(score, best, 1)
+        rows = np.repeat(self.nodes[-1][:1, None], len(q), 0)
+        scores = np.einsum("ijk,ik->ij", self.x[rows], q)
         for at in range(len(self.nodes) - 1, -1, -1):
-            if at < len(self.nodes) - 1 or len(top) > beam or len(self.nodes) == 1:
-                rows, scores = self._beam(q, rows, scores, at, UPPER_BEAM if at else beam)
+            rows, scores = beam_search(self.x, self.places[at], self.links[at], q, rows, scores, UPPER_BEAM if at and len(self.nodes[at]) > 2 * beam else beam)
         order = np.argsort(-scores, 1, kind="stable")
         return np.take_along_axis(rows, order, 1)
 
-    def _beam(self, q: np.ndarray, rows: np.ndarray, scores: np.ndarray, at: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        nodes, links, n, m = self.nodes[at], self.links[at], len(self.vectors), len(q)
-        place = np.full(n, -1, np.int64)
-        place[nodes] = np.arange(len(nodes))
-        width = max(beam, rows.shape[1])
-        ids = np.full((m, width), -1, np.int64)
-        best = np.full((m, width), -np.inf, np.float32)
-        ids[:, : rows.shape[1]], best[:, : rows.shape[1]] = rows, scores
-        seen = np.zeros((m, n), bool)
-        seen[np.repeat(np.arange(m), rows.shape[1])[(rows >= 0).ravel()], rows[rows >= 0]] = True
-        done = ids < 0
-        live = np.arange(m)
-        while len(live):
-            open_ = np.where(done[live], -np.inf, best[live])
-            k = min(EXPAND, width)
-            pick = np.argpartition(-open_, k - 1, 1)[:, :k]
-            valid = np.isfinite(np.take_along_axis(open_, pick, 1))
-            some = valid.any(1)
-            live, pick, valid = live[some], pick[some], valid[some]
-            if not len(live):
-                break
-            chosen = np.where(valid, ids[live[:, None], pick], -1)
-            done[live[:, None], pick] = True
-            near = np.where((chosen >= 0)[:, :, None], links[place[np.maximum(chosen, 0)]], -1).reshape(len(live), -1).astype(np.int64)
-            near = np.sort(near, 1)
-            near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-            near[seen[live[:, None], np.maximum(near, 0)]] = -1
-            fresh = near >= 0
-            r, c = np.nonzero(fresh)
-            seen[live[r], near[r, c]] = True
-            score = np.full(near.shape, -np.inf, np.float32)
-            score[r, c] = np.einsum("ij,ij->i", self.x[near[r, c]], q[live[r]])
-            all_ids = np.concatenate([ids[live], near], 1)
-            all_best = np.concatenate([best[live], score], 1)
-            all_done = np.concatenate([done[live], ~fresh], 1)
-            keep = np.argpartition(-all_best, width - 1, 1)[:, :width]
-            ids[live], best[live], done[live] = (np.take_along_axis(z, keep, 1) for z in (all_ids, all_best, all_done))
-        return ids, best
-
     HEAD = struct.Struct("<QIII")
 
     def dumps(self) -> bytes:
@@ -247,42 +344,50 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def build_index(vectors: DataFrame, top: int = TOP) -> DataFrame:
-    """The graphs of vectors (vec_id, embedding: usable, of one length) as rows (shard, data), written to the shared folder.
+    """The graphs of vectors (vec_id, embedding: usable) as rows (shard, d, data), written to the shared folder. Each length of vectors, d, has shards of its own.
 
-    Equal vectors are one node that keeps their top + 1 smallest vec_ids: more can be in no result. A vector that a third of all rows share is first reduced by
-    64 salts.
+    Equal vectors are one node that keeps their top + 1 smallest vec_ids: more can be in no result. They are told by 128 bits of their hashes, repeated rows
+    are reduced before they are shuffled, and so are the vec_ids of a vector that very many rows share. The driver gets a count for each length.
     """
-    salted = vectors.select(F.col("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).distinct().withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-    few = salted.withColumn("n", F.row_number().over(Window.partitionBy("embedding", "salt").orderBy("vec_id"))).where(F.col("n") <= top + 1)
-    few = few.withColumn("n", F.row_number().over(Window.partitionBy("embedding").orderBy("vec_id"))).where(F.col("n") <= top + 1)
-    nodes = stored(few.groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "nodes")
-    size = nodes.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max(F.size("embedding")), F.lit(1)).alias("d")).first()
-    most = max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * size["d"])))
-    shards = max(SHARDS, -(-size["n"] // most))
-    dealt = nodes.select(F.pmod(F.xxhash64(F.col("ids")[0]), F.lit(shards)).cast("int").alias("shard"), "ids", "embedding")
-    dealt = dealt.repartition(max(shards, 1), "shard").sortWithinPartitions("shard", F.col("ids")[0])
+    keyed = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    keyed = keyed.select("vec_id", F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(SEED), "embedding").alias("k2"), "embedding")
+    once = keyed.groupBy("k1", "k2", "vec_id").agg(F.first("embedding").alias("embedding"))
+    few = once.withColumn("n", F.row_number().over(Window.partitionBy("k1", "k2").orderBy("vec_id"))).where(F.col("n") <= top + 1)
+    nodes = stored(few.select("k1", "k2", "n", "vec_id", F.size("embedding").alias("d"), F.when(F.col("n") == 1, F.col("embedding")).alias("embedding")), "nodes")
+    first, plan = 0, []
+    for d, n in sorted(nodes.where("n = 1").groupBy("d").agg(F.count(F.lit(1))).collect()):
+        most = max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * d)))
+        shards = max(-(-n // most), min(SHARDS, -(-n // SHARD_LEAST)))
+        plan.append((d, first, shards))
+        first += shards
+    plan = vectors.sparkSession.createDataFrame(plan, "_d int, _first int, _shards int")
+    dealt = nodes.join(F.broadcast(plan), nodes["d"] == plan["_d"])
+    dealt = dealt.select((F.col("_first") + F.pmod("k1", F.col("_shards"))).cast("int").alias("shard"), "k1", "k2", "n", "vec_id", "embedding")
+    dealt = dealt.repartition(max(first, 1), "shard").sortWithinPartitions("shard", "k1", "k2", "n")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held = None, []
 
         def close() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held).combine_chunks()
-            x = matrix(rows.column("embedding").chunk(0))
-            ids = np.full((len(x), top + 1), MISSING)
-            for i, own in enumerate(rows.column("ids").to_pylist()):
-                ids[i, : len(own)] = own
-            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([Graph.build(x, ids).dumps()], pa.binary())], names=["shard", "data"])
+            n, vec_id = (rows.column(c).to_numpy() for c in ("n", "vec_id"))
+            heads = np.flatnonzero(n == 1)
+            x = matrix(rows.column("embedding").chunk(0).drop_null())
+            ids = np.full((len(x), int(n.max())), MISSING)
+            ids[np.searchsorted(heads, np.arange(len(n)), "right") - 1, n - 1] = vec_id
+            made = Graph.build(x, ids)
+            return pa.RecordBatch.from_arrays([pa.array([shard], pa.int32()), pa.array([x.shape[1]], pa.int32()), pa.array([made.dumps()], pa.binary())], names=["shard", "d", "data"])
 
         for new, rows in streams(batches, 1):
             if new and held:
                 yield close()
                 held = []
             shard = rows.column(0)[0].as_py()
-            held.append(rows)
+            held.append(rows.select(["n", "vec_id", "embedding"]))
         if held:
             yield close()
 
-    return stored(dealt.mapInArrow(build, "shard int, data binary"), "index", "uncompressed")
+    return stored(dealt.mapInArrow(build, "shard int, d int, data binary"), "index", "uncompressed")
 
 
 def search_index(index: DataFrame, queries: DataFrame, top: int = TOP) -> DataFrame:
@@ -292,10 +397,11 @@ def search_index(index: DataFrame, queries: DataFrame, top: int = TOP) -> DataFr
     """
     n = queries.count()
     splits = max(1, -(-n // QUERY_BLOCK))
-    shards = [r[0] for r in index.select("shard").collect()]
-    split = F.array(*[F.lit(i) for i in range(splits)]) if splits < 1000 else F.sequence(F.lit(0), F.lit(splits - 1))
-    graphs = index.select("shard", F.explode(split).alias("split"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("embedding"), "data")
-    asked = queries.select(F.explode(F.array(*[F.lit(s) for s in shards]).cast("array<int>")).alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(splits)).cast("int").alias("split"), F.lit(1).alias("kind"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit(None).cast("binary").alias("data"))
+    of_length = index.groupBy("d").agg(F.sort_array(F.collect_list("shard")).alias("shards"))  # a row a length
+    each = F.explode(F.sequence(F.lit(0), F.lit(splits - 1)))
+    graphs = index.select("shard", each.alias("split"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("array<double>").alias("embedding"), "data")
+    asked = queries.join(F.broadcast(of_length), F.size("embedding") == F.col("d"))
+    asked = asked.select(F.explode("shards").alias("shard"), F.pmod(F.xxhash64("vec_id"), F.lit(splits)).cast("int").alias("split"), F.lit(1).alias("kind"), F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.lit(None).cast("binary").alias("data"))
     dealt = graphs.union(asked).repartition("shard", "split").sortWithinPartitions("shard", "split", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,7 +415,7 @@ def search_index(index: DataFrame, queries: DataFrame, top: int = TOP) -> DataFr
                 got = graph.nearest(part.column("vec_id").to_numpy(), matrix(part.column("embedding")), top)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in got], names=["query_id", "vec_id", "score"])
 
-    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double") if shards else asked.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    found = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
@@ -317,12 +423,11 @@ def search_index(index: DataFrame, queries: DataFrame, top: int = TOP) -> DataFr
 def nearest(vectors: DataFrame, asks: Column, top: int = TOP) -> DataFrame:
     """For each row of vectors (vec_id, embedding) that asks holds for, the top other rows of largest inner product, ties to smaller vec_ids.
 
-    Vectors that are null, zero or hold null or non-finite components, those without a vec_id, and those that are not of the most frequent length take no part.
-    Repeated rows count once; of rows with one vec_id that asks, the smallest vector does. Other columns are not read. Nothing in, nothing out.
+    Vectors that are null, zero or hold null or non-finite components, and those without a vec_id, take no part. Vectors of different lengths have no product, so
+    each length is searched apart. Repeated rows count once; of rows with one vec_id that asks, the smallest vector does. Other columns are not read. Nothing
+    in, nothing out.
     """
     good = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
-    length = good.groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    good = good.where(F.size("embedding") == (length["d"] if length else 0))
     queries = good.where(asks).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     return search_index(build_index(good, top), queries, top)
 

@@ -54,7 +54,7 @@ def test_graph_round_trip_and_search():
 
 def test_awkward_vectors(spark):
     copies = [(i, [1.0, 0.0], 0) for i in range(100, 180)]  # many equal vectors: the smallest ids win
-    odd = [(200, None, 0), (201, [0.0, 0.0], 0), (202, [None, 1.0], 0), (203, [math.nan, 1.0], 0), (204, [math.inf, 1.0], 0), (205, [1.0], 0), (206, [], 0), (None, [1.0, 1.0], 0)]
+    odd = [(200, None, 0), (201, [0.0, 0.0], 0), (202, [None, 1.0], 0), (203, [math.nan, 1.0], 0), (204, [math.inf, 1.0], 0), (206, [], 0), (None, [1.0, 1.0], 0)]
     few = [(0, [1.0, 0.5], None), (0, [1.0, 0.5], None), (20, [-1.0, 0.0], None)]
     df = spark.createDataFrame(copies + odd + few, SCHEMA).withColumns({c: F.lit(1) for c in ("rank", "score", "ids", "shard")})
     got: dict = {}
@@ -62,14 +62,34 @@ def test_awkward_vectors(spark):
         got.setdefault(r["query_id"], []).append(r["vec_id"])
     rows = [(i, v) for i, v, _ in copies] + [(0, [1.0, 0.5]), (20, [-1.0, 0.0])]
     assert got == brute(rows, 20)
+    longer = [(240, [1.0, 2.0, 3.0], 0), (241, [1.0, 0.0, 0.0], 0), (260, [7.0], 0)]  # each length is searched apart
+    both = neighbours.nearest(df.select("vec_id", "embedding", "label").union(spark.createDataFrame(longer, SCHEMA)), F.col("vec_id") % 20 == 0).collect()
+    assert [(r["vec_id"], r["score"]) for r in both if r["query_id"] == 240] == [(241, 1.0)] and not [r for r in both if r["query_id"] == 260]
+    assert len(both) == sum(map(len, got.values())) + 1
     assert neighbours.nearest(df.limit(0), F.lit(True)).count() == 0
     alone = spark.createDataFrame([(20, [1.0, 2.0], 0)], SCHEMA)
     assert neighbours.nearest(alone, F.col("vec_id") % 20 == 0).count() == 0
 
 
-def test_recall_on_tight_clusters():
+@pytest.mark.parametrize("n,clusters,spread", [(6000, 15, 0.1), (3000, 8, 0.003)])
+def test_recall_on_tight_clusters(n, clusters, spread):
     rng = np.random.default_rng(1)
-    x = 3 * rng.normal(size=(15, 24))[rng.integers(0, 15, 6000)] + 0.1 * rng.normal(size=(6000, 24))  # 400 vectors each
-    g, q = neighbours.Graph.build(x, np.arange(6000)[:, None]), x[:200]
+    x = 3 * rng.normal(size=(clusters, 24))[rng.integers(0, clusters, n)] + spread * rng.normal(size=(n, 24))  # some 400 vectors each
+    g, q = neighbours.Graph.build(x, np.arange(n)[:, None]), x[:200]
     want, got = np.argsort(-(q @ x.T), 1)[:, :20], g.search(q)[:, :20]
     assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(want, got, strict=True)]) > 0.95
+
+
+def test_every_node_can_be_reached():
+    rng = np.random.default_rng(4)
+    x = np.repeat(rng.normal(size=(40, 8)) * 100, 60, 0) + 1e-4 * rng.normal(size=(2400, 8))
+    g = neighbours.Graph.build(x, np.arange(2400)[:, None])
+    assert len(g.nodes) > 1 and g.links[0].shape[1] < 64  # a graph, not a list of all pairs
+    for at, (nodes, links) in enumerate(zip(g.nodes, g.links, strict=True)):
+        front = set(g.nodes[at + 1].tolist() if at + 1 < len(g.nodes) else nodes[:1].tolist())
+        assert front <= set(nodes.tolist())
+        found = set()
+        while front:
+            found |= front
+            front = {int(t) for f in front for t in links[g.places[at][f]] if t >= 0} - found
+        assert found == set(nodes.tolist())
