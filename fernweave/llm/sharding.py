@@ -7,11 +7,13 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ranked, table
+from .common import ranked, stored, table
 
 #: The ring has 2 ** RING_BITS places; keys and virtual nodes stand on places.
 RING_BITS = 16
 VIRTUAL_NODES = 512
+#: A place of more than this many times the mean rows of a place is numbered by as many tasks as it has such parts.
+HEAVY = 16
 
 
 def ring(shards: int, virtual_nodes: int = VIRTUAL_NODES) -> list[int]:
@@ -57,16 +59,19 @@ def shard_rows(docs: DataFrame, shards: int, virtual_nodes: int = VIRTUAL_NODES)
     """docs (doc_id, text) with size, text_crc32, shard and slot (gapless from 0 in each shard); other columns are not read.
 
     A key is a doc_id with its text, so a doc_id that many rows share is spread too. Its hash is its place on the ring. Nulls: a null text is empty, a null
-    doc_id is a key of its own. Equal rows lie side by side. The driver gets a count a place, 65,536 at most, and broadcasts as many ranges and a few more;
-    rows are numbered within their place by tasks that share the place, so no group lands in one.
+    doc_id is a key of its own. The driver gets a count a place, 65,536 at most, and broadcasts as many ranges and a few more; a place of very many rows, equal
+    ones too, is numbered by tasks that share it, since each row has a stored salt. Rows without texts are written once and read twice.
     """
     spark = docs.sparkSession
     text = F.encode(F.coalesce(F.col("text").cast("string"), F.lit("")), "UTF-8")
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64("doc_id", "text").alias("_key"))
-    keyed = keyed.withColumn("_place", F.shiftrightunsigned("_key", 64 - RING_BITS).cast("int"))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64("doc_id", "text").alias("_key"), F.monotonically_increasing_id().alias("_row"))
+    keyed = stored(keyed.withColumn("_place", F.shiftrightunsigned("_key", 64 - RING_BITS).cast("int")), "keys")
     counts = {r[0]: r[1] for r in keyed.groupBy("_place").agg(F.count(F.lit(1))).collect()}
     ranges = spark.createDataFrame(bounded(counts, shards, virtual_nodes), "_place int, _from long, _to long, shard int, _slot long")
-    numbered = ranked(keyed, ["_place"], ["_key", "doc_id", "text_crc32"], "_rank", 4)
+    part = HEAVY * max(1, sum(counts.values()) >> RING_BITS)
+    heavy = spark.createDataFrame([(p, -(-n // part)) for p, n in counts.items() if n > part], "_heavy int, _parts int")
+    keyed = keyed.join(F.broadcast(heavy), keyed["_place"] == heavy["_heavy"], "left")
+    numbered = ranked(keyed, ["_place"], ["_key", "doc_id", "text_crc32"], "_rank", F.coalesce("_parts", F.lit(1)), "_row")
     found = numbered.join(F.broadcast(ranges), (numbered["_place"] == ranges["_place"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
     return found.select("doc_id", "size", "text_crc32", "shard", (F.col("_slot") + F.col("_rank") - F.col("_from")).alias("slot"))
 
