@@ -46,34 +46,46 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float = EPO
 
     A source's whole repetitions take all its rows; the fraction left takes its rows in the order of a seeded hash until the target is reached. The row at the
     target is taken in part, so that a source gets its target to the word; with cut=False a row is whole or left, whichever is nearer.
-    Nulls: a null source is a source, a null text has no words, rows with null or equal doc_ids are ordered by their sizes and texts. An empty table stays empty.
-    A hot source is dealt out by 4,096 hash bins; running sums go over bins (4,096 rows a source) and then within one bin.
+    Nulls: a null source is a source, a null text has no words, rows with null or equal doc_ids are told apart by their texts. An empty table stays empty.
+    A hot source is dealt out by 4,096 bins of a hash of doc_id and text, so a null or shared doc_id is dealt out too; running sums go over bins (4,096 rows a source) and then within one bin.
     """
-    kept = docs.columns
-    rows = docs.withColumn("_size", words(F.col("text"))).withColumn("_hash", F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    rows = rows.withColumn("_bin", F.substring("_hash", 1, BIN_DIGITS)).withColumn("_text", F.xxhash64("text"))
-    sums = rows.groupBy("source", "_bin").agg(F.sum("_size").alias("_n"))
-    goal = targets(sums.groupBy("source").agg(F.sum("_n").alias("source_size")), weights, epochs)
-    bins = sums.withColumn("_before", F.coalesce(F.sum("_n").over(Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    goal = goal.withColumnsRenamed({"source_size": "_source_size", "target": "_target"})
-    bins = bins.join(goal, bins["source"].eqNullSafe(goal["source"])).select(bins["source"].alias("_source"), bins["_bin"].alias("_bin2"), "_before", "_source_size", "_target")
-    inner = Window.partitionBy("source", "_bin").orderBy("_hash", "doc_id", "_size", "_text").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_inner", F.coalesce(F.sum("_size").over(inner), F.lit(0)))
-    rows = rows.join(bins, rows["source"].eqNullSafe(bins["_source"]) & (rows["_bin"] == bins["_bin2"]))
-    whole = F.when(F.col("_source_size") > 0, F.floor(F.col("_target") / F.col("_source_size"))).otherwise(F.lit(0))
-    rest = F.round("_target").cast("long") - whole * F.col("_source_size")
-    room = rest - F.col("_before") - F.col("_inner")
-    part = F.least(F.greatest(room, F.lit(0)), F.col("_size")) if cut else F.when(room * 2 >= F.col("_size"), F.col("_size")).otherwise(F.lit(0))
-    taken = F.least(whole * F.col("_size") + part, F.lit(int(epochs)) * F.col("_size")).cast("long")
-    clash = [c for c in kept if c in ("size", "source_size", "target", "taken")]
-    return rows.select(*[F.col(c) for c in kept if c not in clash], F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken"))
-
-
-def copies(docs: DataFrame, **how) -> DataFrame:
+    kept = [c for c in docs.columns if c not in ("size", "source_size", "target", "taken")]
+    mixed = mixed_rows(docs, F.struct(*[F.col(f"`{c}`") for c in kept]), weights, epochs, seed, cut)
+    return mixed.select(*[F.col(f"row.`{c}`") for c in kept], "size", "source_size", "target", "taken")
+
+
+def mixed_rows(docs: DataFrame, row: Column, weights: Sequence[float], epochs: float, seed: int, cut: bool) -> DataFrame:
+    """row of each of docs with size, source_size, target and taken, as mix() says. Rows are shuffled once, by source and bin."""
+    text, doc_id = F.col("text").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    rows = docs.select(
+        row.alias("row"),
+        "source",
+        F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"),
+        F.col("doc_id").alias("id"),
+        words(text).alias("size"),
+        F.md5(F.concat(F.lit(f"{seed}|"), doc_id, F.lit("|"), F.md5(F.coalesce(text, F.lit(""))))).alias("hash"),
+    )
+    rows = rows.withColumn("bin", F.substring("hash", 1, BIN_DIGITS))
+    sums = rows.groupBy("source", "key", "bin").agg(F.sum("size").alias("n"))
+    goal = targets(sums.groupBy("source").agg(F.sum("n").alias("source_size")), weights, epochs)
+    goal = goal.select(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")).alias("key"), "source_size", "target")
+    bins = sums.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("key").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n", "source")
+    inner = Window.partitionBy("key", "bin").orderBy("hash", "id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inner", F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    rows = rows.join(bins.join(goal, "key"), ["key", "bin"])
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    rest = F.round("target").cast("long") - whole * F.col("source_size")
+    room = rest - F.col("before") - F.col("inner")
+    part = F.least(F.greatest(room, F.lit(0)), F.col("size")) if cut else F.when(room * 2 >= F.col("size"), F.col("size")).otherwise(F.lit(0))
+    taken = F.least(whole * F.col("size") + part, F.lit(int(epochs)) * F.col("size")).cast("long")
+    return rows.select("row", "size", "source_size", "target", taken.alias("taken"))
+
+
+def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, epochs: float = EPOCHS, seed: int = SEED) -> DataFrame:
     """docs as the mix has them: each row as often as it is taken. Rows without words are kept once."""
-    mixed = mix(docs.withColumn("_row", F.struct(*docs.columns)), cut=False, **how)
+    mixed = mixed_rows(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]), weights, epochs, seed, False)
     n = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.expr("cast(taken div greatest(size, 1) as int)"))
-    return mixed.withColumn("_n", n).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")
+    return mixed.select("row", n.alias("n")).where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +97,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP6_SQL = """
 WITH RECURSIVE d AS (
   SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
-         md5('42|' || coalesce(doc_id::VARCHAR, '')) AS h
+         md5('42|' || coalesce(doc_id::VARCHAR, '') || '|' || md5(coalesce(text, ''))) AS h
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,
