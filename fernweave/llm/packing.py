@@ -168,7 +168,7 @@ class Plan:
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, length: int = LENGTH) -> DataFrame:
-    """The documents' ids (with end_id at the end) in pieces: doc_id, start, length, doc_tokens, ids (little-endian uint32), text_hash; written to the shared folder.
+    """The documents' ids (with end_id at the end) in pieces: doc_id, start, length, doc_tokens, ids (little-endian uint32), text_hash, salt (tells equal rows apart); written to the shared folder.
 
     All pieces but a document's last have the full length. Null texts are empty; rows with null or repeated doc_ids are documents like others.
     """
@@ -190,12 +190,12 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID,
                 at = np.concatenate([[0], np.cumsum(size)]) * 4
                 values = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(size), [None, pa.py_buffer(at.astype(np.int64)), pa.py_buffer(ids.view(np.uint8))])
                 own = pa.array(of_doc)
-                columns = [part.column(0).take(own), pa.array(start), pa.array(size), pa.array(n[of_doc]), values.cast(pa.binary()), part.column(2).take(own)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "doc_tokens", "ids", "text_hash"])
+                columns = [part.column(0).take(own), pa.array(start), pa.array(size), pa.array(n[of_doc]), values.cast(pa.binary()), part.column(2).take(own), part.column(3).take(own)]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "length", "doc_tokens", "ids", "text_hash", "salt"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    source = source.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"))
-    return stored(map_arrow(source, cut, "doc_id long, start long, length long, doc_tokens long, ids binary, text_hash long"), "pieces")
+    source = source.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("salt"))
+    return stored(map_arrow(source, cut, "doc_id long, start long, length long, doc_tokens long, ids binary, text_hash long, salt long"), "pieces")
 
 
 def pack(found: DataFrame, length: int = LENGTH, carry: Sequence[str] = (), salts: int = 256) -> DataFrame:
@@ -205,13 +205,13 @@ def pack(found: DataFrame, length: int = LENGTH, carry: Sequence[str] = (), salt
     Pieces are ranked within their class by distributed numbering, since one length may hold a third of all pieces.
     """
     sizes = class_sizes(length)
-    found = found.select("doc_id", "start", "length", "doc_tokens", "text_hash", *carry)
+    found = found.select("doc_id", "start", "length", "doc_tokens", "text_hash", "salt", *carry)
     found = found.withColumn("_class", class_of(F.col("length"), length))
     demand = np.zeros(len(sizes), np.int64)
     for k, n in found.groupBy("_class").agg(F.count(F.lit(1))).collect():
         demand[k] = n
     plan = Plan(sizes, demand, length)
-    numbered = ranked(found, ["_class"], ["doc_id", "start", "text_hash"], "_rank", salts).drop("text_hash")
+    numbered = ranked(found, ["_class"], ["doc_id", "start", "text_hash"], "_rank", salts, "salt").drop("text_hash", "salt")
     schema = T.StructType([*numbered.schema, T.StructField("sequence_id", T.LongType()), T.StructField("_slot", T.LongType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
