@@ -10,14 +10,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, table
+from .common import map_arrow, stored, table
 
 #: The model is fitted on at most this many labelled documents, those of the smallest hashes; scoring and all else cover every document.
 SAMPLE = 8_000
 SAMPLE_SEED = 11
+#: And on texts of this many bytes together at most, in the same order, so that the driver holds no more whatever the texts' lengths.
+SAMPLE_BYTES = 128 << 20
 #: A word is a feature if its rate in toxic and in other documents of the sample differs by this many standard errors.
 MIN_Z = 5.0
 MAX_FEATURES = 1500
@@ -142,20 +144,27 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     return Model(dict(zip(features, weights.tolist(), strict=True)), thresholds)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SAMPLE_SEED) -> Model:
-    """A model from the labelled documents (doc_id, toxic), at most sample of them, taken by hash. Null labels and labels without a document are left out."""
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, seed: int = SAMPLE_SEED, sample_bytes: int = SAMPLE_BYTES) -> Model:
+    """A model from the labelled documents (doc_id, toxic), at most sample of them and sample_bytes of their texts, taken by hash.
+
+    Null labels and labels without a document are left out. A doc_id counts once, with its smallest text and its worst label.
+    """
     wanted = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     wanted = wanted.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(wanted), "doc_id")
-    got = sorted((r["doc_id"], r["text"] or "", r["toxic"]) for r in rows.collect())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(wanted), "doc_id")
+    rows = stored(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "labelled")  # at most sample rows
+    order = Window.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id")
+    rows = rows.withColumn("bytes", F.sum(F.octet_length("text")).over(order)).where(F.col("bytes") <= sample_bytes)
+    got = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows.select("doc_id", "text", "toxic").collect())
     return fit([t for _, t, _ in got], [int(y) for _, _, y in got])
 
 
 def grade(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """docs with severity_grade, expected_severity and toxic (0 or 1), whatever columns there are beside text; a null or empty text has the score of no words.
+    """docs with severity_grade, expected_severity and toxic (0 or 1), in place of columns of these names; a null or empty text has the score of no words.
 
     A document is toxic if it is expected to be as severe as REJECT and its words speak for it: where most labels are toxic, one without any sign is not.
     """
+    docs = docs.drop("severity_grade", "expected_severity", "toxic")
     names = docs.columns
     at = names.index(text)
 
@@ -177,7 +186,11 @@ def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's grade and expected severity, by a model from the labelled ones."""
+    """Every document's grade and expected severity, by a model from the labelled ones.
+
+    labels says 0 or 1, so the severe grade is made from the texts themselves (see fit()): the grade tells how much toxic vocabulary a toxic document has,
+    and no label stands behind the line between the two upper grades.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels"))
     return grade(docs, model).drop("text")
