@@ -18,8 +18,10 @@ from .common import binary, map_arrow, slices, spread, stored, table
 
 #: Blocks between restart markers; the decoder takes that many steps of 64 symbols, for all intervals of all images of a batch at once.
 INTERVAL = 4
-#: Blocks in a row of an image that holds a payload, at most; rows are as even as they can be, so few blocks are filled up.
+#: Blocks in a row of an image that holds a payload, more only where there would be over MOST_BLOCKS rows; rows are as even as they can be.
 ROW_BLOCKS = 64
+#: Blocks along a side of an image: its 16 bits count 65,535 samples. So an image holds 4 GB of payload, twice what a value of a table can.
+MOST_BLOCKS = 8191
 #: The bytes most frequent in UTF-8 prose, most frequent first: they get the smallest coefficients. The others follow in ascending order.
 FREQUENT = b" etanrihosdlu\xc3cpm.gqb,\xa9fvyw\nxkzj\xa8ETAIOSNRDL'-0123456789\xb3\xbc\xa4\xb1\xa1"
 # The Huffman tables written here: how many codes there are of each length from 1 to 16, and their symbols. DC symbols are sizes 0 to 11;
@@ -133,11 +135,16 @@ def entropy_code(blocks: np.ndarray, images: np.ndarray, interval: int = INTERVA
     return [stuffed[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
+def shape(count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(blocks in a row, rows) of images that hold count blocks each."""
+    high = -(-count // np.maximum(ROW_BLOCKS, -(-count // MOST_BLOCKS)))
+    return -(-count // high), high
+
+
 def encode(payloads: list[bytes]) -> list[bytes]:
     """Each payload (a positive multiple of 64 bytes) as a grey baseline JPEG: 64 bytes are the coefficients of a block, in zigzag order."""
     count = np.array([len(p) // 64 for p in payloads])
-    high = -(-count // ROW_BLOCKS)
-    wide = -(-count // high)
+    wide, high = shape(count)
     data = np.frombuffer(b"".join(payloads), np.uint8).reshape(-1, 64)
     blocks = np.full((int((wide * high).sum()), 64), VALUE[FREQUENT[0]])
     blocks[spread(np.cumsum(wide * high) - wide * high, count)] = VALUE[data]

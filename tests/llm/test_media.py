@@ -115,3 +115,20 @@ def test_query_over_awkward_documents(docs, empty):
     same = [tuple(r[1:]) for r in rows if r["doc_id"] in (1, 2)]
     assert len(set(same)) == 1
     assert media.media_features(media.media_column(empty)).count() == 0
+
+
+def test_very_long_payloads_fit_the_frame():
+    count = np.array([1, 64, 65, 8191 * 64, 8191 * 64 + 1, 525_000, 20_000_000, 8191 * 8191])  # 525,000 blocks are 33.6 MB
+    wide, high = media.shape(count)
+    assert (wide * high >= count).all() and (wide <= 8191).all() and (high <= 8191).all()
+    assert (wide * high - count < wide).all()  # at most a row is filled up
+    assert wide[0] == high[0] == 1 and wide[3] == 64
+
+
+def test_tall_images_round_trip(monkeypatch):
+    monkeypatch.setattr(media, "ROW_BLOCKS", 2)
+    monkeypatch.setattr(media, "MOST_BLOCKS", 5)
+    payload = bytes(i * 37 % 256 for i in range(64 * 23))
+    (h, blocks), = media.decode(media.encode([payload]))
+    assert (h.width // 8, h.height // 8) == (5, 5)
+    assert media.BYTE[blocks.ravel()[: h.payload] + 256].astype(np.uint8).tobytes() == payload
