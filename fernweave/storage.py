@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder (spark.checkpoint.dir); where it is unset, as in tests, a new temporary one is made and set."""
+    """The shared folder (spark.checkpoint.dir); where it is unset, a new temporary one is made and set, on a local master only: executors elsewhere do not see it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="fernweave-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
