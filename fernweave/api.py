@@ -71,10 +71,20 @@ class Workspace:
                 rows = rows.where(F.col(column) == value)
         return vectors.similar(rows, query if isinstance(query, list) else self.encode(query), top_k)
 
-    def context(self, query: str, max_tokens: int = 4096, scope: str | None = None, include_source: bool = False) -> DataFrame:
-        """The sections of a context within a budget of tokens; scope is a repository."""
+    def context(self, query: str, max_tokens: int = 4096, scope: str | None = None, include_source: bool = False, format: str = "rows") -> DataFrame | str | dict[str, DataFrame]:
+        """The sections of a context within a budget of tokens; scope is a repository. format: rows, narrative (one text) or structured (a table a section)."""
+        if format not in ("rows", "narrative", "structured"):
+            raise ValueError("format is one of rows, narrative, structured")
         near = self.similar(query, 30, repo=scope).select("id", "score") if self.vectors is not None and self.encode else None
-        return vectors.build_context(self.graph, query, max_tokens, near, scope, include_source)
+        entries = None
+        if include_source and self.extractions is not None:
+            entries = self.extractions.select("file_path", F.explode("symbols").alias("s")).select("file_path", *[f"s.{c}" for c in ("name", "start_line", "signature")])
+        if format == "structured":
+            parts = vectors.context_parts(self.graph, query, near, scope, entries)
+            parts["candidates"] = parts["candidates"].where("place <= 20")
+            return parts if include_source else {k: v for k, v in parts.items() if k != "source"}
+        rows = vectors.build_context(self.graph, query, max_tokens, near, scope, include_source, entries)
+        return rows if format == "rows" else vectors.context_text(rows)
 
     def docs(self, query: str, top_k: int = 10, repo: str | None = None) -> tuple[DataFrame, DataFrame]:
         """Documents and sections, and the code that they link to."""

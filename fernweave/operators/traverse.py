@@ -104,7 +104,8 @@ def dfs_context(g: Graph, hits: DataFrame, depth: int, top: int = 3, most: int =
 def shortest_path(g: Graph, start: str, goal: str, max_depth: float = 10, edge_types: tuple[str, ...] = DEFAULT_TYPES, weights: dict[str, float] | None = None, rounds: int = 1000) -> DataFrame:
     """The cheapest path along outgoing edges: (step, id, label, source_file, edge_type, cost), empty if there is none. A node that costs max_depth is not left.
 
-    Rounds of relaxing the edges of the nodes that improved; it ends when none did or none can beat the goal. A round is a join and an aggregation.
+    Rounds of relaxing the edges of the nodes that improved; it ends when none did or none can beat the goal. A round is a join and an aggregation; it writes
+    the nodes that improved, and what is known so far is all of them together.
     """
     spark: SparkSession = g.nodes.sparkSession
     schema = "step int, id string, label string, source_file string, edge_type string, cost double"
@@ -114,23 +115,25 @@ def shortest_path(g: Graph, start: str, goal: str, max_depth: float = 10, edge_t
     if g.nodes.where(F.col("id").isin(start, goal)).select("id").distinct().count() < len({start, goal}):
         return spark.createDataFrame([], schema)
     best = front = spark.createDataFrame([(start, 0.0, None, None)], row)
+    target = None
     if start != goal:
         edges = stored(edges, "path-edges")  # every round reads them again
     for k in range(rounds if start != goal else 0):
         met = front.where(F.col("cost") < max_depth).join(edges, front["id"] == edges["src"]).groupBy("dst").agg(F.min(F.struct((F.col("cost") + F.col("w")).alias("cost"), F.col("src").alias("prev"), "type")).alias("m"))
         met = met.select(F.col("dst").alias("id"), "m.cost", "m.prev", F.col("m.type").alias("edge_type"))
-        old = best.select("id", F.col("cost").alias("old"))
+        old = best.groupBy("id").agg(F.min("cost").alias("old"))
         front = stored(met.join(old, "id", "left").where("old is null or cost < old").drop("old"), f"front-{k}")
-        best = stored(best.join(front, "id", "left_anti").unionAll(front), f"best-{k}")
-        least, target = front.agg(F.min("cost")).first()[0], best.where(F.col("id") == goal).select("cost").first()
-        if least is None or (target and least >= target[0]):
+        best = best.unionAll(front)
+        least, at_goal = front.agg(F.min("cost"), F.min(F.when(F.col("id") == goal, F.col("cost")))).first()
+        target = target if at_goal is None else at_goal
+        if least is None or (target is not None and least >= target):
             break
     else:
         if start != goal:
             raise RuntimeError(f"the costs did not settle in {rounds} rounds")
     path, at = [], goal
     while at is not None:  # at most a row a step
-        found = best.where(F.col("id") == at).first()
+        found = best.where(F.col("id") == at).orderBy("cost").first()
         if found is None:
             return spark.createDataFrame([], schema)
         path.append((found["id"], found["edge_type"], found["cost"]))

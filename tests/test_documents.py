@@ -159,7 +159,7 @@ def test_next_fit(spark):
     got = {r["id"]: r["batch"] for r in enrich.next_fit(spark.createDataFrame(rows, "group string, ord int, id string, tokens int"), 80 + 25).collect()}
     assert got == {"i0": 1, "i1": 1, "i2": 1, "i3": 2, "i4": 3, "i5": 4, "h0": 1}
     answers = enrich.ask(spark.createDataFrame([("1", "x"), ("2", "bad")], "id string, prompt string"), lambda p: {"x": "yes"}[p])
-    assert {r["id"]: r["answer"] for r in answers.collect()} == {"1": "yes", "2": None}
+    assert {r["id"]: (r["answer"], r["error"]) for r in answers.collect()} == {"1": ("yes", None), "2": (None, "KeyError: 'bad'")}
     assert spark.range(1).select(enrich.strip_fences(F.lit("```json\n[1]\n```"))).first()[0] == "[1]"
 
 
