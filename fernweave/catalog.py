@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,9 @@ from pyspark.sql import functions as F
 
 from fernweave.functions import text as tx
 from fernweave.operators import communities, detail, diff, enrich, extract, ranking, search, traverse, vectors
-from fernweave.sources.star import STAR_SQL, load, star_graph
+from fernweave.sources import vector_tables
+from fernweave.sources.star import STAR_SQL, key, load, star_graph
+from fernweave.storage import shared_dir
 from fernweave.streaming import changes
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -350,6 +353,31 @@ def tfidf_hashed_buckets(spark, sf_dir):
     return rows.withColumn("weight", F.round("weight", 6) + F.lit(0.0))
 
 
+VOCABULARY = TOKENS.replace("FROM documents), c AS", "FROM documents), bt AS (SELECT item_id, unnest(list_filter(regexp_split_to_array(regexp_replace(replace(lower(text), '_', ' '), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'), lambda x: length(x) >= 2)) AS term FROM benchmark), bc AS (SELECT item_id, term, count(*) AS n FROM bt GROUP BY 1, 2), c AS")
+
+
+@query(f"{VOCABULARY}, h AS (SELECT term, coalesce(idf, 1.0) AS idf, {HASH.format('term')} % 384 AS bucket, CASE WHEN {HASH.format(chr(40) + 'term || ' + chr(39) + '_sign' + chr(39) + chr(41))} % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM (SELECT DISTINCT term FROM bc) LEFT JOIN f USING (term)), w AS (SELECT item_id, bucket, sum(n / total * idf * s) AS w FROM (SELECT *, sum(n) OVER (PARTITION BY item_id)::DOUBLE AS total FROM bc) JOIN h USING (term) GROUP BY 1, 2) SELECT item_id, bucket, round(w / CASE WHEN norm = 0 THEN 1.0 ELSE norm END, 6) + 0.0 AS weight FROM (SELECT *, sqrt(sum(w * w) OVER (PARTITION BY item_id)) AS norm FROM w)", graph=False)
+def vocabulary_weights(spark, sf_dir):
+    """The texts of benchmark, weighed by the saved frequencies of documents."""
+    docs, path = load(spark, sf_dir, "documents"), f"{shared_dir(spark)}/fernweave/vocabulary-{uuid.uuid4().hex}"
+    vector_tables.write_vocabulary(vectors.inverse_frequencies(vectors.document_tokens(docs), docs), path)
+    counts = vectors.document_tokens(load(spark, sf_dir, "benchmark"), "item_id")
+    rows = vectors.hashed_weights(counts, vectors.known_frequencies(counts, vector_tables.read_vocabulary(spark, path)), "item_id")
+    return rows.withColumn("weight", F.round("weight", 6) + F.lit(0.0))
+
+
+@query("SELECT 'part:' || p_partkey AS id, CASE WHEN p_size > 25 AND p_type <> p_name THEN 2 ELSE 1 END AS round, length(p_name) AS size FROM part", graph=False)
+def vector_refresh(spark, sf_dir):
+    """Vectors of parts by type or name and of suppliers, brought up to those of all parts by name: which round made each."""
+    part, supplier = load(spark, sf_dir, "part"), load(spark, sf_dir, "supplier")
+    path = f"{shared_dir(spark)}/fernweave/vectors-{uuid.uuid4().hex}"
+    made = lambda k: lambda rows: rows.select("id", F.array(F.lit(float(k)), F.length("text").cast("double")).alias("vector"))
+    before = part.select(key("part", "p_partkey").alias("id"), F.when(F.col("p_size") > 25, F.col("p_type")).otherwise(F.col("p_name")).alias("text"))
+    vector_tables.refresh_vectors(before.unionAll(supplier.select(key("supplier", "s_suppkey"), "s_name")), path, made(1))
+    vector_tables.refresh_vectors(part.select(key("part", "p_partkey").alias("id"), F.col("p_name").alias("text")), path, made(2))
+    return vector_tables.read_vectors(spark, path).select("id", F.col("vector")[0].cast("int").alias("round"), F.col("vector")[1].cast("long").alias("size"))
+
+
 PROBE = [1.0 if i % 3 == 0 else -0.5 if i % 3 == 1 else 0.25 for i in range(64)]
 PROBE_SQL = "[" + ", ".join(f"{x}::DOUBLE" for x in PROBE) + "]"
 
