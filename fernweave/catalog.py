@@ -455,7 +455,11 @@ def context_sections(spark, sf_dir):
     return vectors.build_context(star_graph(spark, sf_dir), "supplier europe", 2048)
 
 
-@query()
+# From one node, to a depth of one: its neighbours are visited in the opposite order of their last place among its edges, and an edge to a node visited before is left out.
+WALK = ", s AS (SELECT src AS id, dst AS nxt, 0 AS way, * FROM edges UNION ALL SELECT dst, src, 1, * FROM edges), p AS (SELECT *, row_number() OVER (ORDER BY way, nxt, type) AS k FROM s WHERE id = 'supplier:3'), t AS (SELECT nxt AS id, row_number() OVER (ORDER BY max(k) DESC) AS t FROM p GROUP BY nxt)"
+
+
+@query(f"{WALK} SELECT src, type, dst FROM p UNION ALL SELECT s.src, s.type, s.dst FROM s JOIN t ON t.id = s.id LEFT JOIN t AS m ON m.id = s.nxt WHERE s.nxt <> 'supplier:3' AND coalesce(m.t > t.t, true)")
 def dfs_context(spark, sf_dir):
     hits = spark.createDataFrame([("supplier:3", 1)], "id string, rank int")
     return spark.createDataFrame(traverse.dfs_context(star_graph(spark, sf_dir), hits, 1), "src string, type string, dst string")

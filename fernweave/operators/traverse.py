@@ -74,31 +74,39 @@ def bfs_context(g: Graph, hits: DataFrame, depth: int, top: int = 3) -> DataFram
     """Around the first hits (id, rank), edges taken either way: (id, label, depth, edge_type, via) of every node found."""
     start = hits.orderBy("rank").limit(top).select("id")
     found = _expand(g, _steps(g, "both"), start, depth, F.lit(True), "context")
+    if found is None:  # a depth of none finds none
+        return g.nodes.sparkSession.createDataFrame([], "id string, label string, type string, depth int, edge_type string, via string")
     return found.select("id", "label", "type", "depth", "edge_type", "via")
 
 
 def dfs_context(g: Graph, hits: DataFrame, depth: int, top: int = 3, most: int = 100_000) -> list[tuple[str, str, str]]:
-    """Edges (src, type, dst) in the order a stack visits them around the first hits. The part of the graph within depth is found as in bfs_context(), and the walk
-    itself is the driver's; more than so many edges there are refused."""
+    """Edges (src, type, dst) in the order a stack visits them around the first hits, the best first. A node's outgoing edges come by (target, type), then its
+    incoming ones as they came. The part of the graph within depth is found as in bfs_context(), and the walk itself is the driver's; more than so many edges
+    there are refused."""
+    best = [r["id"] for r in hits.orderBy("rank").limit(top).collect()]
     found = bfs_context(g, hits, depth, top).select("id").unionAll(hits.orderBy("rank").limit(top).select("id")).distinct()
-    near = _steps(g, "both").join(found, "id", "left_semi").limit(most + 1).collect()
+    e = g.edges.where("src <> dst")
+    out = e.select(F.col("src").alias("id"), F.col("dst").alias("next"), "type", F.lit(0).alias("way"), F.lit(0).cast("long").alias("ord"))
+    into = e.select(F.col("dst").alias("id"), F.col("src").alias("next"), "type", F.lit(1).alias("way"), "ord")
+    ends = g.nodes.select(F.col("id").alias("next"))
+    near = out.unionAll(into).join(found, "id", "left_semi").join(ends, "next", "left_semi").limit(most + 1).collect()
     if len(near) > most:
         raise ValueError(f"more than {most} edges lie within depth {depth}")
     edges: dict[str, list] = {}
-    for r in sorted(near, key=lambda r: (r["step"]["ord"] or 0, r["next"], r["type"])):
-        edges.setdefault(r["id"], []).append((r["type"], r["next"]))
-    stack = [(r["id"], 0) for r in hits.orderBy("rank").limit(top).collect()]
-    seen, out = set(), []
+    for r in sorted(near, key=lambda r: (r["way"], r["ord"] or 0, r["next"], r["type"])):
+        edges.setdefault(r["id"], []).append((r["way"], r["type"], r["next"]))
+    stack = [(node, 0) for node in reversed(best)]
+    seen, walk = set(), []
     while stack:
         node, d = stack.pop()
         if node in seen or d > depth:
             continue
         seen.add(node)
-        for kind, other in edges.get(node, []):
+        for way, kind, other in edges.get(node, []):
             if other not in seen:
-                out.append((node, kind, other))
+                walk.append((other, kind, node) if way else (node, kind, other))
                 stack.append((other, d + 1))
-    return out
+    return walk
 
 
 def shortest_path(g: Graph, start: str, goal: str, max_depth: float = 10, edge_types: tuple[str, ...] = DEFAULT_TYPES, weights: dict[str, float] | None = None, rounds: int = 1000) -> DataFrame:

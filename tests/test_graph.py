@@ -155,11 +155,39 @@ def test_detail_and_context(g):
     assert detail.node_detail(g, "nothing").count() == 0
     hits = search.search_nodes(g, "open_db")
     assert set(ids(traverse.bfs_context(g, hits, 1))) == {"fn:load_user", "fn:place_order", "fn:db_health", "fn:db_url"}
-    walk = traverse.dfs_context(g, hits, 1)
-    assert {e[2] for e in walk} >= {"fn:load_user", "fn:db_url"}
     assert "fn:Users.get" in {r["src"] for r in detail.neighbours_of(g, search.fuzzy_match(g, "load_user", 1)).collect()}
 
 
+def plain_walk(starts, depth):
+    """A stack's walk over the fixture's edges, by recursion on what lies above it."""
+    of = defaultdict(list)
+    for a, b, kind in sorted(fixtures.EDGES, key=lambda e: (e[1], e[2])):
+        of[a].append((b, (a, kind, b)))
+    for a, b, kind in fixtures.EDGES:
+        of[b].append((a, (a, kind, b)))
+    seen, out = set(), []
+
+    def visit(pending):
+        if not pending:
+            return
+        (node, d), *rest = pending
+        if node in seen or d > depth:
+            return visit(rest)
+        seen.add(node)
+        new = [x for x in of[node] if x[0] not in seen]
+        out.extend(edge for _, edge in new)
+        visit([(other, d + 1) for other, _ in reversed(new)] + rest)
+
+    visit([(s, 0) for s in starts])
+    return out
+
+
+@pytest.mark.parametrize("starts,depth", [(["fn:open_db"], 1), (["fn:open_db"], 3), (["fn:sign_in", "fn:db_url", "fn:Users.get"], 2), (["cls:Auth", "fn:load_user"], 0)])
+def test_depth_first_equals_a_plain_walk(g, starts, depth):
+    hits = g.nodes.sparkSession.createDataFrame([(s, k) for k, s in enumerate(starts)], "id string, rank int")
+    assert traverse.dfs_context(g, hits, depth) == plain_walk(starts, depth)
+
+
 def test_boundary_metrics(spark):
     nodes = [(n, n, "function", c) for n, c in zip("ABCDE", "00110", strict=True)]
     base = [("A", "B"), ("A", "C"), ("C", "D")]
