@@ -2,29 +2,81 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections import OrderedDict
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from fernweave.graph import Graph
-from fernweave.operators import detail, outline, ranking, search, traverse, vectors
-from fernweave.sources import graph_json
+from fernweave.functions.text import grouped_number
+from fernweave.operators import detail, extract, outline, ranking, search, traverse, vectors
+from fernweave.sources import graph_json, repos
+
+TEXT, NUMBER, FLAG = {"type": "string"}, {"type": "number"}, {"type": "boolean"}
+
+
+def _tool(method: str, about: str, needs: tuple[str, ...] = (), **arguments: dict) -> dict:
+    return {"method": method, "description": about, "schema": {"type": "object", "properties": arguments, "required": list(needs)}}
+
+
+#: The tools' names and the names of their arguments.
+TOOLS = {
+    "graph_search": _tool("search", "Nodes by words", ("query",), query=TEXT, top_k=NUMBER, repo=TEXT, type=TEXT, context_depth=NUMBER, context_mode=TEXT),
+    "graph_impact": _tool("impact", "What a symbol affects and is affected by", ("symbol",), symbol=TEXT, direction=TEXT, max_depth=NUMBER, include_tests=FLAG),
+    "graph_outline": _tool("outline", "A file's symbols", ("file_path",), file_path=TEXT, format=TEXT),
+    "graph_path": _tool("path", "The cheapest path between two symbols", ("from", "to"), **{"from": TEXT, "to": TEXT}, max_depth=NUMBER, edge_types={"type": "array", "items": TEXT}),
+    "graph_explain": _tool("explain", "A symbol and its edges", ("symbol",), symbol=TEXT, include_code=FLAG),
+    "graph_community": _tool("community", "A community's members", ("community_id",), community_id=TEXT),
+    "graph_hotspots": _tool("hotspots", "The nodes with most edges", top_n=NUMBER, metric=TEXT),
+    "graph_similar": _tool("similar", "The nodes nearest to a text by their vectors", ("query",), query=TEXT, top_k=NUMBER, type=TEXT, repo=TEXT),
+    "graph_context": _tool("context", "What a question needs, within a budget of tokens", ("query",), query=TEXT, max_tokens=NUMBER, scope=TEXT, include_source=FLAG, format=TEXT),
+    "graph_docs": _tool("docs", "Documents and the code they name", ("query",), query=TEXT, top_k=NUMBER, repo=TEXT),
+    "graph_status": _tool("status_text", "What the graph holds"),
+}
+RENAMED = {"from": "start", "to": "goal", "community_id": "community"}
+KINDS = {"string": str, "number": (int, float), "boolean": bool, "array": list}
+OUTLINES_HELD = 100
 
 
 @dataclass
 class Workspace:
-    """A graph with what else was built for it: vectors (id, type, repo, vector), extractions for outlines, a query encoder."""
+    """A graph with what else was built for it: vectors (id, type, repo, vector), extractions or a table for outlines, a query encoder, the repositories' folders, metadata."""
 
     graph: Graph
     vectors: DataFrame | None = None
     extractions: DataFrame | None = None
     encode: object = None
+    outlines_path: str | None = None
+    repos: dict[str, str] = field(default_factory=dict)
+    metadata: dict = field(default_factory=dict)
+    _held: OrderedDict = field(default_factory=OrderedDict, repr=False)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> Workspace:
         """From a JSON graph or from tables."""
-        return cls(graph_json.read_graph(spark, path, guarded=True) if path.endswith(".json") else graph_json.read_tables(spark, path))
+        if path.endswith(".json"):
+            return cls(graph_json.read_graph(spark, path, guarded=True), metadata=graph_json.read_metadata(path) or {})
+        return cls(graph_json.read_tables(spark, path), metadata=graph_json.read_table_metadata(spark, path))
+
+    def call(self, tool: str, arguments: dict | None = None) -> dict:
+        """A tool by name, as servers get it: {"rows": a table, or what the method gives} or {"error": why not}."""
+        known, given = TOOLS.get(tool), arguments or {}
+        if known is None:
+            return {"error": f"unknown tool: {tool}"}
+        properties = known["schema"]["properties"]
+        wrong = [f"{n} is needed" for n in known["schema"]["required"] if given.get(n) in (None, "")]
+        wrong += [f"{n} is no argument" for n in given if n not in properties]
+        for n, v in given.items():
+            kind = KINDS.get(properties.get(n, {}).get("type"))
+            if kind and v is not None and (not isinstance(v, kind) or (isinstance(v, bool) and kind is not bool)):
+                wrong.append(f"{n} is a {properties[n]['type']}")
+        if wrong:
+            return {"error": "; ".join(wrong)}
+        try:
+            return {"rows": getattr(self, known["method"])(**{RENAMED.get(n, n): v for n, v in given.items() if v is not None})}
+        except Exception as e:  # noqa: BLE001 - a server answers with the cause
+            return {"error": f"{type(e).__name__}: {e}"}
 
     def search(self, query: str, top_k: int = 10, repo: str | None = None, type: str | None = None, context_depth: int = 0, context_mode: str = "bfs"):
         """Hits; with a depth, a pair: hits and what lies around the first three, nodes by breadth or edges in depth-first order."""
@@ -48,10 +100,13 @@ class Workspace:
         """The cheapest path between two symbols; empty if one is unknown or there is none."""
         return traverse.shortest_path(self.graph, self._resolve(start) or "", self._resolve(goal) or "", max_depth, edge_types)
 
-    def explain(self, symbol: str) -> DataFrame:
-        """A node with its edges; for an unknown one, suggestions."""
+    def explain(self, symbol: str, include_code: bool = False) -> DataFrame:
+        """A node with its edges and, if asked for, its file's outline (null without one); for an unknown one, suggestions."""
         rows = detail.node_detail(self.graph, symbol)
-        return search.suggestions(self.graph, symbol) if rows.isEmpty() else rows
+        found = rows.select("source_file").first()
+        if found is None:
+            return search.suggestions(self.graph, symbol)
+        return rows.withColumn("outline", F.lit(self.outline(found["source_file"])).cast("string")) if include_code else rows
 
     def community(self, community: str) -> DataFrame:
         """A community's members; for an unknown one, the largest communities."""
@@ -94,12 +149,44 @@ class Workspace:
     def status(self) -> DataFrame:
         return ranking.graph_stats(self.graph)
 
-    def outline(self, file_path: str, format: str = "markdown") -> str | None:
+    def status_text(self) -> str:
+        """The status in words: when it was built, counts, repositories, what else there is."""
+        row = self.status().select("repo_count", *[grouped_number(F.col(c)).alias(c) for c in ("node_count", "edge_count")]).first()
+        names = sorted(r["name"] if isinstance(r, dict) else r for r in self.metadata.get("repos") or self.repos)
+        out = ["## Graph status", ""]
+        out += [f"Built: {self.metadata['built_at']}"] if self.metadata.get("built_at") else []
+        out += [f"Nodes: {row['node_count']} | Edges: {row['edge_count']}"]
+        out += [f"Repositories: {len(names) or row['repo_count']}" + (f" ({', '.join(names)})" if names else "")]
+        out += ["Outlines: written"] if self.outlines_path else []
+        out += [f"Vectors: {self.metadata.get('embeddings') or ('there' if self.vectors is not None else 'none')}"]
+        return "\n".join(out)
+
+    def _outline_row(self, file_path: str) -> Row | None:
+        """A file's outline: of the last ones asked for, from the table, from the extractions, or from the file itself."""
+        if self.outlines_path and (row := outline.read_outline(self.graph.nodes.sparkSession, self.outlines_path, file_path)):
+            return row
+        if self.extractions is not None and (row := outline.outlines(self.extractions.where(F.col("file_path") == file_path)).first()):
+            return row
+        there = repos.located(file_path, self.repos, ".")["absolute"]
+        if there is None:
+            return None
+        with open(there, encoding="utf-8", errors="replace") as f:
+            text = f.read()
+        known = extract.Extractors()
+        known.register([".py"], outline.with_fallback(extract.extract_python))
+        return outline.outlines(known.run(self.graph.nodes.sparkSession.createDataFrame([(file_path, text)], "path string, text string"))).first()
+
+    def outline(self, file_path: str | None, format: str = "markdown") -> str | None:
         """A file's outline as text or JSON; None for a file that is not known."""
-        if self.extractions is None:
+        if not file_path:
+            return None
+        row = self._held.pop(file_path, None) or self._outline_row(file_path)
+        if row is None:
             return None
-        row = outline.outlines(self.extractions.where(F.col("file_path") == file_path)).first()
-        return row and (outline.as_json(row) if format == "json" else outline.as_markdown(row))
+        self._held[file_path] = row
+        while len(self._held) > OUTLINES_HELD:
+            self._held.popitem(last=False)
+        return outline.as_json(row) if format == "json" else outline.as_markdown(row)
 
     def sql(self, text: str) -> DataFrame:
         """Any SQL over the views nodes and edges."""

@@ -67,6 +67,32 @@ def token_count(text: Column) -> Column:
     return F.ceil(F.length(F.coalesce(text, F.lit(""))) / F.lit(4.0)).cast("long")
 
 
+def posix(path: Column) -> Column:
+    """A path with slashes in the place of backslashes."""
+    return F.translate(path, "\\", "/")
+
+
+def relative_to(path: Column, root: str) -> Column:
+    """A path below root as seen from it, "" for root itself; null for one that lies elsewhere."""
+    full, top = posix(path), root.replace("\\", "/").rstrip("/")
+    return F.when(full == top, F.lit("")).when(full.startswith(top + "/"), F.substring(full, len(top) + 2, 1 << 30))
+
+
+def grouped_number(n: Column) -> Column:
+    """A whole number with a comma between thousands."""
+    return F.format_number(n, 0)
+
+
+def strip_fences(answer: Column) -> Column:
+    """A JSON answer without the code fence around it."""
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(answer), r"^```[a-zA-Z]*\s*", ""), r"\s*```$", ""))
+
+
+def parse_answer(answer: Column, schema: str) -> Column:
+    """A JSON answer, fenced or not, as a value of a schema; null where it is no such JSON."""
+    return F.from_json(strip_fences(answer), schema, {"mode": "PERMISSIVE"})
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fernweave.graph import Graph
+from fernweave.storage import stored
 
 HOPS = 2
 
@@ -89,8 +92,8 @@ def build_graph(extractions: DataFrame, repo: str | None = None) -> Graph:
     c = F.col
     parents = symbols.groupBy("file_path", "name").agg(F.min_by("qualified_name", "ord").alias("up"))
     inner = symbols.where("parent is not null").join(parents.select("file_path", c("name").alias("parent"), "up"), ["file_path", "parent"])
-    resolved = resolve_imports(ok)
-    known = imported_symbols(ok, resolved)
+    resolved = stored(resolve_imports(ok), "resolved")  # each is read several times below
+    known = stored(imported_symbols(ok, resolved), "known")
     edges = edge(symbols, c("file_path"), c("qualified_name"), "contains").unionAll(edge(inner, c("up"), c("qualified_name"), "contains"))
     edges = edges.unionAll(edge(known, c("file_path"), c("symbol"), "imports_from"))
     names = resolved.where("target is not null").select("file_path", "target", F.explode_outer("names").alias("n"), "is_wildcard").withColumn("name", F.regexp_replace("n", r"\s+as\s+.*$", ""))
@@ -122,3 +125,24 @@ def resolve_references(extractions: DataFrame, symbols: DataFrame, known: DataFr
     is_path = F.col("name").contains("/")
     dst = F.coalesce("r0", F.when(is_path, F.col("r1")), *[F.when(~is_path, F.col(r)) for r in ("r2", "r3", "r4", "r5")])
     return out.withColumn("dst", dst).where("dst is not null").select("src", "dst", "type")
+
+
+def build_stats(extractions: DataFrame) -> DataFrame:
+    """One row on a build: node_count, edge_count, file_count, cross_file_edges, unresolved_imports.
+
+    cross_file_edges counts what was tried, so an edge found twice counts twice: each name that an import of a known file brings, a bare import of one, and each
+    reference that leads into another file. unresolved_imports are those of modules from outside.
+    """
+    ok = extractions.where("error is null")
+    g, symbols, resolved = build_graph(extractions), symbols_of(ok), resolve_imports(ok)
+    one = F.count(F.lit(1))
+    inside = resolved.where("target is not null")
+    wild = inside.where("is_wildcard").join(exported(ok).withColumnRenamed("file_path", "target"), "target").agg(one.alias("n"))
+    named = inside.agg(F.coalesce(F.sum(F.size(F.coalesce("names", F.array().cast("array<string>"))) + F.when(~F.col("is_wildcard") & (F.size("names") == 0), 1).otherwise(0)), F.lit(0)).alias("n"))
+    files = symbols.groupBy(F.col("qualified_name").alias("id")).agg(F.min("file_path").alias("file")).unionAll(ok.select(F.col("file_path").alias("id"), F.col("file_path").alias("file")))
+    files = files.groupBy("id").agg(F.min("file").alias("file"))
+    refs = resolve_references(ok, symbols, imported_symbols(ok, resolved))
+    ends = refs.join(files.select(F.col("id").alias("src"), F.col("file").alias("a")), "src").join(files.select(F.col("id").alias("dst"), F.col("file").alias("b")), "dst")
+    across = wild.unionAll(named).unionAll(ends.where("a <> b").agg(one.alias("n"))).agg(F.sum("n").cast("long").alias("cross_file_edges"))
+    counts = [g.nodes.agg(one.alias("node_count")), g.edges.agg(one.alias("edge_count")), ok.agg(one.alias("file_count")), across, resolved.where("target is null").agg(one.alias("unresolved_imports"))]
+    return reduce(lambda a, b: a.crossJoin(F.broadcast(b)), counts)  # one row each

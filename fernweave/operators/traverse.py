@@ -64,6 +64,11 @@ def impact(g: Graph, start: str, direction: str = "both", max_depth: int = 3, in
     return out if out is not None else spark.createDataFrame([], "direction string, depth int, id string, label string, type string, source_file string, repo string, edge_type string, via string")
 
 
+def path_edge_types(path: DataFrame) -> DataFrame:
+    """How many of a path's steps are edges of each type."""
+    return path.where("edge_type is not null").groupBy("edge_type").agg(F.count(F.lit(1)).alias("n"))
+
+
 def cross_repo_impact(g: Graph, start: str, found: DataFrame) -> DataFrame:
     """Found nodes of other repositories, counted by them; a node in both directions counts twice."""
     own = g.nodes.where(F.col("id") == start).select(F.col("repo").alias("own"))

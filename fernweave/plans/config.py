@@ -44,8 +44,15 @@ class Config:
     scan: Scan = field(default_factory=Scan)
     enrich: Enrich = field(default_factory=Enrich)
     embed: Embed = field(default_factory=Embed)
+    services: dict = field(default_factory=dict)
+    plugins: dict = field(default_factory=dict)
 
 
+#: What a kind of service must say, and what it can be used for.
+SERVICES = {"http": ("url", "model"), "local": ("model",), "vectors": ("model",)}
+USES = {"embed.provider": ("http", "vectors"), "enrich.mode": ("http", "local")}
+#: Settings of a plugin that the engine itself reads; an extractor does not get them.
+OWN_KEYS = ("enabled", "endings", "include", "exclude")
 MODES, PROVIDERS = ("algorithmic", "callable", "off"), ("tfidf", "callable", "off")
 
 
@@ -81,8 +88,24 @@ def load_config(path: str) -> Config:
     if isinstance(given.get("build"), dict):
         given = {**given.pop("build"), **given}
     config = _fill(Config, given)
-    if config.enrich.mode not in MODES or config.embed.provider not in PROVIDERS:
-        raise ValueError(f"enrich.mode is one of {', '.join(MODES)}; embed.provider is one of {', '.join(PROVIDERS)}")
+    for name, service in config.services.items():
+        kind = service.get("kind") if isinstance(service, dict) else None
+        if kind not in SERVICES:
+            raise ValueError(f"services.{name} has a kind, one of {', '.join(SERVICES)}")
+        if lacking := [k for k in SERVICES[kind] if not service.get(k)]:
+            raise ValueError(f"services.{name} ({kind}) lacks {', '.join(lacking)}")
+    for where, own, given_ in (("enrich.mode", MODES, config.enrich.mode), ("embed.provider", PROVIDERS, config.embed.provider)):
+        if given_ in own:
+            continue
+        if given_ not in config.services:
+            raise ValueError(f"{where} is one of {', '.join(own)}, or one of the services")
+        if (kind := config.services[given_]["kind"]) not in USES[where]:
+            raise ValueError(f"{where} can't use {given_}, which is of kind {kind}")
     if not 0 <= config.enrich.threshold <= 1 or not 0 <= config.enrich.boundary_threshold <= 1:
         raise ValueError("thresholds lie between 0 and 1")
     return config
+
+
+def plugin_settings(defaults: dict | None, given: dict | None) -> dict:
+    """What an extractor is told: its defaults with what the user gave in their place, without the keys that are the engine's own."""
+    return {k: v for k, v in {**(defaults or {}), **(given or {})}.items() if k not in OWN_KEYS}

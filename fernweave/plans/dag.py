@@ -7,6 +7,8 @@ import json
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
+from pathlib import Path
+from threading import Lock
 
 
 @dataclass
@@ -87,7 +89,7 @@ class Run:
     skipped: list[str] = field(default_factory=list)
 
 
-def execute(dag: Dag, seals: dict[str, str] | None = None, force: bool = False, threads: int = 4) -> Run:
+def execute(dag: Dag, seals: dict[str, str] | Manifest | None = None, force: bool = False, threads: int = 4) -> Run:
     """Runs a level after the other, the phases of a level side by side (Spark jobs from several threads). A failure stops what needs it and nothing else.
 
     seals (name to key) is read and brought up to date: a phase with the sealed key is skipped, unless one that it needs ran.
@@ -118,3 +120,35 @@ def execute(dag: Dag, seals: dict[str, str] | None = None, force: bool = False,
                     out.results[name], seals[name] = value, keys[name]
                     ran.add(name)
     return out
+
+
+class Manifest:
+    """The seals of a folder in one small JSON file on the driver, for execute(): a dict that is written, beside its place and then moved there, after each change."""
+
+    def __init__(self, path: str):
+        self.path, self.lock = path, Lock()
+        try:
+            self.held: dict[str, str] = json.loads(Path(path).read_text())
+        except (FileNotFoundError, json.JSONDecodeError):  # no build yet, or half a file: everything runs
+            self.held = {}
+
+    def _write(self) -> None:
+        from fernweave.sources.graph_json import write_atomically
+
+        write_atomically(self.path, json.dumps(self.held, sort_keys=True, indent=1))
+
+    def get(self, name: str) -> str | None:
+        return self.held.get(name)
+
+    def __setitem__(self, name: str, key: str) -> None:
+        with self.lock:
+            self.held[name] = key
+            self._write()
+
+    def pop(self, name: str, default: str | None = None) -> str | None:
+        with self.lock:
+            if name not in self.held:
+                return default
+            out = self.held.pop(name)
+            self._write()
+            return out

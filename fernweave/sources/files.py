@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -86,3 +87,43 @@ def read_files(files: DataFrame, root: str) -> DataFrame:
 def census(files: DataFrame, most: int | None = MOST_FILES) -> DataFrame:
     """(extension, n) over at most so many files (None: all); names without an ending and dotfiles are left out."""
     return (files if most is None else files.limit(most)).select(extension(F.col("path")).alias("extension")).where("extension <> ''").groupBy("extension").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "extension")
+
+
+@dataclass(frozen=True)
+class Census:
+    """counts (extension, n), how many files they count, the roots that are no folders, and whether the limit left files out."""
+
+    counts: DataFrame
+    total: int
+    missing: list[str]
+    truncated: bool
+
+
+def census_of(spark: SparkSession, roots: list[str], exclude: list[str] | None = None, skip_dirs: tuple[str, ...] = SKIP_DIRS, most: int = MOST_FILES) -> Census:
+    """The census of several folders. Excluded paths, files without an ending and dotfiles do not count toward the limit; of more files the first by root and path count."""
+    there = [r for r in roots if os.path.isdir(r)]
+    found = None
+    for k, root in enumerate(there):
+        rows = list_files(spark, root, skip_dirs).select(F.lit(k).alias("root"), "path")
+        found = rows if found is None else found.unionAll(rows)
+    if found is None:
+        found = spark.createDataFrame([], "root int, path string")
+    found = found.where(~matches_any(F.col("path"), exclude or []) & (extension(F.col("path")) != ""))
+    n = found.count()
+    counted = found.orderBy("root", "path").limit(most) if n > most else found
+    return Census(census(counted, most=None), min(n, most), [r for r in roots if r not in there], n >= most)
+
+
+def write_hashes(read: DataFrame, path: str) -> None:
+    """The hashes of files (path, hash) as a table, which the next build holds its files against."""
+    read.select("path", "hash").write.mode("overwrite").parquet(path)
+
+
+def read_hashes(spark: SparkSession, path: str) -> DataFrame:
+    """The hashes that a build left; none where there was none."""
+    try:
+        return spark.read.schema("path string, hash string").parquet(path)
+    except Exception as e:  # noqa: BLE001 - no table there yet is the one failure expected
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], "path string, hash string")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import tempfile
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +56,8 @@ def write_tables(g: Graph, path: str, skip_same: bool = True) -> bool:
                 raise
     g.nodes.write.mode("overwrite").parquet(f"{path}/nodes")
     g.edges.write.mode("overwrite").parquet(f"{path}/edges")
-    meta = [("fingerprint", json.dumps(prints)), ("node_count", prints[0][0]), ("edge_count", prints[1][0])]
+    built = datetime.now(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+    meta = [("fingerprint", json.dumps(prints)), ("node_count", prints[0][0]), ("edge_count", prints[1][0]), ("built_at", built)]
     spark.createDataFrame(meta, "key string, value string").coalesce(1).write.mode("overwrite").parquet(f"{path}/meta")
     return True
 
@@ -64,6 +66,16 @@ def read_tables(spark: SparkSession, path: str) -> Graph:
     return Graph(spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges"))
 
 
+def read_table_metadata(spark: SparkSession, path: str) -> dict:
+    """What write_tables() noted beside the tables; empty where it noted nothing."""
+    try:
+        return {r["key"]: r["value"] for r in spark.read.schema("key string, value string").parquet(f"{path}/meta").collect()}  # a few rows
+    except Exception as e:  # noqa: BLE001 - no table there is the one failure expected
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return {}
+
+
 def as_views(g: Graph) -> None:
     """nodes and edges as temporary views, for spark.sql."""
     g.with_degrees().createOrReplaceTempView("nodes")
@@ -84,6 +96,50 @@ def write_atomically(path: str, text: str) -> None:
     os.replace(temporary, path)
 
 
+def write_json(g: Graph, path: str, metadata: dict | None = None) -> bool:
+    """The graph as one JSON document on the driver's disk, for tools that read such: metadata in its first line, then a node or an edge a line. False, and nothing
+    written, if the document there has the same rows and the same metadata but for built_at.
+
+    Rows pass through the driver a partition at a time. A graph too large for one document is kept by write_tables().
+    """
+    nodes = g.nodes.select("id", *[c for c in ("label", "type", "file_type", "source_file", "repo", "community", "start_line", "end_line", "signature", "docstring", "bases") if c in g.nodes.columns], F.lower(F.coalesce("label", "id")).alias("norm_label"), *[c for c in ("ord",) if c in g.nodes.columns])
+    edges = g.edges.select(F.col("src").alias("source"), F.col("dst").alias("target"), F.coalesce("type", F.lit("unknown")).alias("relation"), F.coalesce("confidence", F.lit(1.0)).alias("confidence_score"), *[c for c in ("ord",) if c in g.edges.columns])
+    about = {**(metadata or {}), "fingerprint": [list(map(str, content_hash(df).first())) for df in (nodes, edges)]}
+    before = read_metadata(path)
+    if before is not None and {k: v for k, v in before.items() if k != "built_at"} == json.loads(json.dumps(about)):
+        return False
+    about["built_at"] = datetime.now(UTC).isoformat(timespec="milliseconds").replace("+00:00", "Z")
+    folder = os.path.dirname(os.path.abspath(path))
+    os.makedirs(folder, exist_ok=True)
+    handle, temporary = tempfile.mkstemp(dir=folder)
+    with os.fdopen(handle, "w") as f:
+        f.write(f'{{"metadata": {json.dumps(about)},\n')
+        for name, rows, by in (("nodes", nodes, ["id"]), ("edges", edges, ["source", "target", "relation"])):
+            first = [F.col("ord").asc_nulls_last()] if "ord" in rows.columns else []
+            lines = rows.orderBy(*first, *by).select(F.to_json(F.struct(*[c for c in rows.columns if c != "ord"])).alias("line"))
+            f.write(f'"{name}": [')
+            for k, r in enumerate(lines.toLocalIterator()):
+                f.write(",\n" if k else "\n")
+                f.write(r["line"])
+            f.write("]" + ("}\n" if name == "edges" else ",\n"))
+    os.replace(temporary, path)
+    return True
+
+
+def read_metadata(path: str) -> dict | None:
+    """The metadata of a JSON graph on the driver's disk; None where there is no such file. Of a document of write_json() only the first line is read."""
+    try:
+        with open(path.removeprefix("file://")) as f:
+            first = f.readline()
+            try:
+                return json.loads(first.rstrip().removesuffix(",") + "}")["metadata"]
+            except (json.JSONDecodeError, KeyError, TypeError):
+                f.seek(0)
+                return json.load(f).get("metadata") or {}
+    except (FileNotFoundError, json.JSONDecodeError):
+        return None
+
+
 def to_json(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """nodes and edges as JSON lines, for files that other tools read."""
     return nodes.select(F.to_json(F.struct("*")).alias("value")), edges.select(F.to_json(F.struct("*")).alias("value"))
