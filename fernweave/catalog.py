@@ -260,11 +260,19 @@ def shortest_path_cost(spark, sf_dir):
 WEIGHTS = "CASE type WHEN 'calls' THEN 10 WHEN 'imports' THEN 5 WHEN 'imports_from' THEN 5 WHEN 'contains' THEN 3 END"
 
 
-@query(f", walk(id, hops, cost) AS (SELECT 'region:1', 0, 0 UNION SELECT dst, hops + 1, cost + {WEIGHTS} FROM walk JOIN edges ON src = id WHERE type <> 'references' AND cost < 100 AND hops < 6), best AS (SELECT id, min(cost) AS cost FROM walk GROUP BY id), prevs AS (SELECT e.dst AS id, min(struct_pack(src := e.src, type := e.type)) AS p FROM edges e JOIN best a ON a.id = e.src JOIN best b ON b.id = e.dst WHERE type <> 'references' AND a.cost + {WEIGHTS} = b.cost GROUP BY 1), back(id, k) AS (SELECT id, 0 FROM best WHERE id = 'part:42' UNION ALL SELECT p.src, k + 1 FROM back JOIN prevs ON prevs.id = back.id WHERE back.id <> 'region:1') SELECT (max(k) OVER () - k)::INT AS step, n.id, n.label, n.source_file, CASE WHEN n.id <> 'region:1' THEN prevs.p.type END AS edge_type, best.cost / 10 AS cost FROM back JOIN nodes n ON n.id = back.id JOIN best ON best.id = back.id LEFT JOIN prevs ON prevs.id = back.id")
+STEPS = f", walk(id, hops, cost) AS (SELECT 'region:1', 0, 0 UNION SELECT dst, hops + 1, cost + {WEIGHTS} FROM walk JOIN edges ON src = id WHERE type <> 'references' AND cost < 100 AND hops < 6), best AS (SELECT id, min(cost) AS cost FROM walk GROUP BY id), prevs AS (SELECT e.dst AS id, min(struct_pack(src := e.src, type := e.type)) AS p FROM edges e JOIN best a ON a.id = e.src JOIN best b ON b.id = e.dst WHERE type <> 'references' AND a.cost + {WEIGHTS} = b.cost GROUP BY 1), back(id, k) AS (SELECT id, 0 FROM best WHERE id = 'part:42' UNION ALL SELECT p.src, k + 1 FROM back JOIN prevs ON prevs.id = back.id WHERE back.id <> 'region:1') SELECT (max(k) OVER () - k)::INT AS step, n.id, n.label, n.source_file, CASE WHEN n.id <> 'region:1' THEN prevs.p.type END AS edge_type, best.cost / 10 AS cost FROM back JOIN nodes n ON n.id = back.id JOIN best ON best.id = back.id LEFT JOIN prevs ON prevs.id = back.id"
+
+
+@query(STEPS)
 def shortest_path_steps(spark, sf_dir):
     return traverse.shortest_path(star_graph(spark, sf_dir), "region:1", "part:42").withColumn("cost", F.round("cost", 6))
 
 
+@query(STEPS.replace("SELECT (max(k)", ", steps AS (SELECT (max(k)") + ") SELECT edge_type, count(*) AS n FROM steps WHERE edge_type IS NOT NULL GROUP BY 1")
+def path_edge_types(spark, sf_dir):
+    return traverse.path_edge_types(traverse.shortest_path(star_graph(spark, sf_dir), "region:1", "part:42"))
+
+
 BOUNDARY = ", m AS (SELECT id, coalesce(community, 'unclustered') AS c FROM nodes), x AS (SELECT src, dst, a.c = b.c AS same FROM edges JOIN m a ON src = a.id JOIN m b ON dst = b.id), y AS (SELECT src AS id, same FROM x UNION ALL SELECT dst, same FROM x), z AS (SELECT n.id, count(*) FILTER (WHERE same) AS i, count(*) FILTER (WHERE NOT same) AS e FROM nodes n LEFT JOIN y USING (id) GROUP BY 1)"
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fernweave.catalog import BOUNDARY, query
-from fernweave.operators import detail, enrich, extract, resolve, search
+from fernweave.functions.text import grouped_number, parse_answer
+from fernweave.operators import detail, embed, enrich, extract, outline, ranking, resolve, search, vectors
 from fernweave.operators.enrich import CHUNK
-from fernweave.sources import files
+from fernweave.sources import files, repos
 from fernweave.sources.modules import document_files, module_files
 from fernweave.sources.star import load, star_graph
 from fernweave.storage import stored
@@ -207,3 +208,102 @@ def resolve_symbol_fuzzy(spark, sf_dir):
 @query("SELECT label || ' (' || type || ', ' || coalesce(source_file, 'unknown') || ')' AS suggestion FROM (SELECT * FROM full_nodes WHERE lower(label) LIKE '%supplier%' AND lower(label) LIKE '%07%' ORDER BY in_degree DESC, id LIMIT 3)")
 def name_suggestions(spark, sf_dir):
     return search.suggestions(star_graph(spark, sf_dir), "supplier_07")
+
+
+@query(f"{CODE}{EDGES} SELECT (SELECT count(*) FROM symbols) + (SELECT count(*) FROM s) + 2 * (SELECT count(*) FROM n) AS node_count, (SELECT count(*) FROM (SELECT DISTINCT * FROM edges)) AS edge_count, (SELECT count(*) FROM s) + 2 * (SELECT count(*) FROM n) AS file_count, 4 * (SELECT count(*) FROM s) + 2 * (SELECT count(*) FROM n) AS cross_file_edges, (SELECT count(*) FROM s) AS unresolved_imports", graph=False)
+def build_statistics(spark, sf_dir):
+    """Counts of a build: of a supplier's module two imported names, its base class and one call lead into other files."""
+    return resolve.build_stats(extractions(spark, sf_dir))
+
+
+@query(f"{CODE}, o AS (SELECT file_path, 'class' AS kind, name, NULL::VARCHAR AS owner, start_line, end_line FROM symbols WHERE kind = 'class' UNION ALL SELECT file_path, 'method', name, parent, start_line, end_line FROM symbols WHERE kind = 'method' UNION ALL SELECT file_path, 'function', name, NULL, start_line, end_line FROM symbols WHERE kind = 'function') SELECT * FROM o", graph=False)
+def code_outlines(spark, sf_dir):
+    """What the outlines of all modules hold, an entry a row."""
+    rows = outline.outlines(extractions(spark, sf_dir))
+    classes = rows.select("file_path", F.explode("classes").alias("c"))
+    entry = lambda df, kind, e, owner: df.select("file_path", F.lit(kind).alias("kind"), f"{e}.name", owner.alias("owner"), f"{e}.start_line", f"{e}.end_line")
+    none = F.lit(None).cast("string")
+    methods = classes.select("file_path", F.col("c.name").alias("of"), F.explode("c.methods").alias("m"))
+    functions = rows.select("file_path", F.explode("functions").alias("f"))
+    return entry(classes, "class", "c", none).unionAll(entry(methods, "method", "m", F.col("of"))).unionAll(entry(functions, "function", "f", none))
+
+
+@query("SELECT 'src/r' || r_regionkey || '/broken.py' AS file_path, 'broken' AS name, 1 AS start_line FROM region", graph=False)
+def outlines_by_lines(spark, sf_dir):
+    """Files that can't be parsed have outlines too, read line by line."""
+    known = extract.Extractors()
+    known.register([".py"], outline.with_fallback(extract.extract_python))
+    broken = module_files(spark, sf_dir).where("path like '%/broken.py'")
+    return outline.outlines(known.run(broken)).select("file_path", F.explode("functions").alias("f")).select("file_path", "f.name", "f.start_line")
+
+
+@query(f"{CODE} SELECT module || '.LIMIT' AS id, 'LIMIT' AS text FROM s UNION ALL SELECT module || '.' || class, class || ' bases:Nation A supplier.' FROM s UNION ALL SELECT module || '.' || class || '.load', 'load def load(self)' FROM s UNION ALL SELECT module || '.' || class || '.total', 'total def total(self)' FROM s UNION ALL SELECT module || '.compute', 'compute def compute(x)' FROM s UNION ALL SELECT module || '.Nation', 'Nation bases:' FROM n UNION ALL SELECT module || '.Nation.name', 'name def name(self)' FROM n UNION ALL SELECT module || '.helper', 'helper def helper(x)' FROM n UNION ALL SELECT path, path || ' Supplier ' || s_name || '.' FROM s JOIN supplier ON s_suppkey = k UNION ALL SELECT path, path FROM n UNION ALL SELECT path, path FROM init", graph=False)
+def node_texts(spark, sf_dir):
+    """The texts that nodes' vectors are made from."""
+    return resolve.build_graph(extractions(spark, sf_dir)).nodes.select("id", vectors.node_text().alias("text"))
+
+
+@query("SELECT 'repo' || (s_suppkey % 3) || '/n' || s_nationkey || '/s' || s_suppkey || '.py' AS file, 'repo' || (s_suppkey % 3) AS repo, '/work/r' || (s_suppkey % 3) || '/n' || s_nationkey || '/s' || s_suppkey || '.py' AS absolute FROM supplier", graph=False)
+def source_paths(spark, sf_dir):
+    """Absolute paths as the graph names them, their repositories, and back."""
+    where = {f"repo{k}": f"/work/r{k}" for k in range(3)}
+    paths = load(spark, sf_dir, "supplier").select(F.concat(F.lit("\\work\\r"), (F.col("s_suppkey") % 3).cast("string"), F.lit("\\n"), F.col("s_nationkey").cast("string"), F.lit("/s"), F.col("s_suppkey").cast("string"), F.lit(".py")).alias("path"))
+    rows = paths.select(repos.source_file(F.col("path"), where).alias("file"))
+    return rows.select("file", repos.repo_name(F.col("file"), where).alias("repo"), repos.absolute_file(F.col("file"), where).alias("absolute"))
+
+
+@query("SELECT s_suppkey, CASE WHEN s_suppkey % 7 > 0 THEN s_name END AS label, CASE WHEN s_suppkey % 7 > 0 THEN s_nationkey END AS nation FROM supplier", graph=False)
+def parsed_answers(spark, sf_dir):
+    """Answers in JSON, some fenced; one in seven is none."""
+    rows = load(spark, sf_dir, "supplier").select("s_suppkey", F.to_json(F.struct(F.col("s_name").alias("label"), F.col("s_nationkey").alias("nation"))).alias("j"))
+    answer = F.when(F.col("s_suppkey") % 7 == 0, F.lit("I can't say")).when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("```json\n"), "j", F.lit("\n```"))).otherwise(F.col("j"))
+    return rows.select("s_suppkey", parse_answer(answer, "struct<label: string, nation: int>").alias("a")).select("s_suppkey", "a.label", "a.nation")
+
+
+@query(", z AS (SELECT community, count(*) AS n FROM nodes GROUP BY 1) SELECT n_nationkey::VARCHAR AS community, CASE WHEN n_nationkey % 5 = 0 THEN 'New ' ELSE '' END || n_name AS label, coalesce(z.n, 0) AS node_count, r_name AS summary FROM place LEFT JOIN z ON z.community = n_nationkey::VARCHAR")
+def final_summaries(spark, sf_dir):
+    """Profiles with newer ones in their place and the nodes of the final graph."""
+    t = load(spark, sf_dir, "nation").join(load(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    profiles = t.select(F.col("n_nationkey").cast("string").alias("community"), F.col("n_name").alias("label"), F.col("r_name").alias("profile"))
+    newer = profiles.where("cast(community as int) % 5 = 0").withColumn("label", F.concat(F.lit("New "), "label"))
+    return enrich.finalize(star_graph(spark, sf_dir), profiles, newer)
+
+
+@query("SELECT id, CASE WHEN type = 'supplier' THEN 'Sells from ' || source_file END AS description FROM nodes")
+def node_descriptions(spark, sf_dir):
+    """Nodes with the descriptions that some of them were given."""
+    g = star_graph(spark, sf_dir)
+    given = g.nodes.where("type = 'supplier'").select("id", F.concat(F.lit("Sells from "), "source_file").alias("description"))
+    return enrich.described(g, given).select("id", "description")
+
+
+@query("SELECT DISTINCT community, 'Nation ' || n_name || ' (community ' || community || ')' AS name FROM nodes JOIN nation ON n_nationkey::VARCHAR = community")
+def community_names(spark, sf_dir):
+    rows = star_graph(spark, sf_dir).nodes.where("type = 'nation'").select("community", "label")
+    return rows.select("community", ranking.display_name(F.col("community"), F.concat(F.lit("Nation "), "label")).alias("name"))
+
+
+@query("SELECT type, format('{:,}', count(*)) AS n FROM edges GROUP BY 1")
+def grouped_counts(spark, sf_dir):
+    """Counts as the status prints them."""
+    return ranking.edge_types(star_graph(spark, sf_dir)).select("type", grouped_number(F.col("n")).alias("n"))
+
+
+POOLED = "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, len(embedding) // 4 AS d FROM embeddings WHERE len(embedding) >= 4), p AS (SELECT vec_id, list_transform(range(1, d + 1), lambda i: (v[i] + v[i + d] + v[i + 3 * d]) / 3) AS m FROM e) SELECT vec_id, round(list_sum(m) / sqrt(list_sum(list_transform(m, lambda x: x * x))), 6) AS total, round(m[1] / sqrt(list_sum(list_transform(m, lambda x: x * x))), 6) AS first FROM p"
+
+
+@query(POOLED, graph=False)
+def mean_pooled(spark, sf_dir):
+    """Each vector as four token vectors, the third masked, pooled to one of length 1."""
+    rows = load(spark, sf_dir, "embeddings").where("size(embedding) >= 4").select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.floor(F.size("embedding") / 4).cast("int").alias("d"))
+    tokens = F.array(*[F.slice("v", F.lit(k) * F.col("d") + 1, F.col("d")) for k in range(4)])
+    pooled = rows.select("vec_id", embed.mean_pool(tokens, F.array(*[F.lit(m) for m in (1, 1, 0, 1)])).alias("p"))
+    return pooled.select("vec_id", F.round(F.aggregate("p", F.lit(0.0), lambda s, x: s + x), 6).alias("total"), F.round(F.element_at("p", 1), 6).alias("first"))
+
+
+@query("SELECT doc_id AS id, length(coalesce(text, ''))::FLOAT AS size FROM documents", graph=False)
+def encoded_texts(spark, sf_dir):
+    """Vectors from a callable that answers a batch out of order."""
+    docs = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    found = embed.encode_texts(docs, lambda texts: [{"index": k, "vector": [len(texts[k])]} for k in reversed(range(len(texts)))])
+    return found.select("id", F.element_at("vector", 1).alias("size"))

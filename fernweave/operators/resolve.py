@@ -70,8 +70,9 @@ def imported_symbols(extractions: DataFrame, resolved: DataFrame) -> DataFrame:
     return found.withColumn("k", best).where("k = 1").select("file_path", "name", "symbol")
 
 
-def build_graph(extractions: DataFrame, repo: str | None = None) -> Graph:
-    """Nodes of files and symbols, and containment, import and reference edges; a first symbol of an id counts, and edges are guarded."""
+def build_graph(extractions: DataFrame, repo: str | None = None, resolved: DataFrame | None = None, known: DataFrame | None = None) -> Graph:
+    """Nodes of files and symbols, and containment, import and reference edges; a first symbol of an id counts, and edges are guarded. resolved and known are what
+    resolve_imports() and imported_symbols() give for these extractions, if a caller has them already."""
     ok = extractions.where("error is null")
     top = F.substring_index("file_path", "/", 1) if repo is None else F.lit(repo)
     none = lambda t: F.lit(None).cast(t)
@@ -92,8 +93,8 @@ def build_graph(extractions: DataFrame, repo: str | None = None) -> Graph:
     c = F.col
     parents = symbols.groupBy("file_path", "name").agg(F.min_by("qualified_name", "ord").alias("up"))
     inner = symbols.where("parent is not null").join(parents.select("file_path", c("name").alias("parent"), "up"), ["file_path", "parent"])
-    resolved = stored(resolve_imports(ok), "resolved")  # each is read several times below
-    known = stored(imported_symbols(ok, resolved), "known")
+    resolved = stored(resolve_imports(ok), "resolved") if resolved is None else resolved  # each is read several times below
+    known = stored(imported_symbols(ok, resolved), "known") if known is None else known
     edges = edge(symbols, c("file_path"), c("qualified_name"), "contains").unionAll(edge(inner, c("up"), c("qualified_name"), "contains"))
     edges = edges.unionAll(edge(known, c("file_path"), c("symbol"), "imports_from"))
     names = resolved.where("target is not null").select("file_path", "target", F.explode_outer("names").alias("n"), "is_wildcard").withColumn("name", F.regexp_replace("n", r"\s+as\s+.*$", ""))
@@ -134,14 +135,16 @@ def build_stats(extractions: DataFrame) -> DataFrame:
     reference that leads into another file. unresolved_imports are those of modules from outside.
     """
     ok = extractions.where("error is null")
-    g, symbols, resolved = build_graph(extractions), symbols_of(ok), resolve_imports(ok)
+    symbols, resolved = symbols_of(ok), stored(resolve_imports(ok), "resolved")
+    known = stored(imported_symbols(ok, resolved), "known")
+    g = build_graph(extractions, resolved=resolved, known=known)
     one = F.count(F.lit(1))
     inside = resolved.where("target is not null")
     wild = inside.where("is_wildcard").join(exported(ok).withColumnRenamed("file_path", "target"), "target").agg(one.alias("n"))
     named = inside.agg(F.coalesce(F.sum(F.size(F.coalesce("names", F.array().cast("array<string>"))) + F.when(~F.col("is_wildcard") & (F.size("names") == 0), 1).otherwise(0)), F.lit(0)).alias("n"))
     files = symbols.groupBy(F.col("qualified_name").alias("id")).agg(F.min("file_path").alias("file")).unionAll(ok.select(F.col("file_path").alias("id"), F.col("file_path").alias("file")))
     files = files.groupBy("id").agg(F.min("file").alias("file"))
-    refs = resolve_references(ok, symbols, imported_symbols(ok, resolved))
+    refs = resolve_references(ok, symbols, known)
     ends = refs.join(files.select(F.col("id").alias("src"), F.col("file").alias("a")), "src").join(files.select(F.col("id").alias("dst"), F.col("file").alias("b")), "dst")
     across = wild.unionAll(named).unionAll(ends.where("a <> b").agg(one.alias("n"))).agg(F.sum("n").cast("long").alias("cross_file_edges"))
     counts = [g.nodes.agg(one.alias("node_count")), g.edges.agg(one.alias("edge_count")), ok.agg(one.alias("file_count")), across, resolved.where("target is null").agg(one.alias("unresolved_imports"))]
