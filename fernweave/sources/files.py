@@ -7,10 +7,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fernweave.functions.text import extension, matches_any
+from fernweave.storage import stored
 
 # Names of folders that hold no sources.
 SKIP_DIRS = (
@@ -23,8 +25,10 @@ MOST_FILES = 200_000
 def list_files(spark: SparkSession, root: str, skip_dirs: tuple[str, ...] = SKIP_DIRS) -> DataFrame:
     """(path, size, modified) of all files under root, links to folders followed, folders of these names left out.
 
-    The walk is the driver's, since Spark's own listing leaves out names that start with _ or a dot; contents are read by the executors.
+    The walk is the driver's, since Spark's own listing leaves out names that start with _ or a dot; contents are read by the executors. A URI goes to list_store().
     """
+    if "://" in root:
+        return list_store(spark, root, skip_dirs)
     rows, seen = [], set()
     for folder, dirs, names in os.walk(root, followlinks=True):
         real = os.path.realpath(folder)
@@ -43,6 +47,33 @@ def list_files(spark: SparkSession, root: str, skip_dirs: tuple[str, ...] = SKIP
     return spark.createDataFrame(rows, "path string, size long, modified double")
 
 
+def list_store(spark: SparkSession, root: str, skip_dirs: tuple[str, ...] = SKIP_DIRS) -> DataFrame:
+    """(path, size, modified) of all files under a URI of any store that pyarrow opens, folders of these names left out.
+
+    A round lists the folders of one depth on the executors, so neither the walk nor its result is the driver's; each round is written before the next.
+    """
+
+    def listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = pa_fs.FileSystem.from_uri(root)
+        for rows in batches:
+            for folder in rows["path"]:
+                found = store.get_file_info(pa_fs.FileSelector(f"{base}/{folder}" if folder else base))
+                yield pd.DataFrame(
+                    [(i.path[len(base) :].lstrip("/"), i.type == pa_fs.FileType.Directory, i.size or 0, i.mtime.timestamp() if i.mtime else None) for i in found if i.type in (pa_fs.FileType.File, pa_fs.FileType.Directory)],
+                    columns=["path", "folder", "size", "modified"],
+                )
+
+    out, todo = None, spark.createDataFrame([("",)], "path string")
+    while True:
+        got = stored(todo.mapInPandas(listed, "path string, folder boolean, size long, modified double"), "listing")
+        rows = got.where("not folder").select("path", "size", "modified")
+        out = rows if out is None else out.unionAll(rows)
+        todo = got.where(F.col("folder") & ~F.substring_index("path", "/", -1).isin(*skip_dirs)).select("path")
+        if todo.isEmpty():
+            return out
+        todo = todo.repartition(spark.sparkContext.defaultParallelism)
+
+
 def select_files(files: DataFrame, types: dict[str, dict], include: list[str] | None = None, exclude: list[str] | None = None, max_kb: int | None = None) -> DataFrame:
     """(type, path, size) by type of file, sorted.
 
@@ -62,16 +93,18 @@ def select_files(files: DataFrame, types: dict[str, dict], include: list[str] |
 
 
 def read_files(files: DataFrame, root: str) -> DataFrame:
-    """files (path) with text and hash (SHA-256 of the bytes); undecodable bytes are replaced, and a file that can't be read has nulls. For a root that all executors see."""
+    """files (path) with text and hash (SHA-256 of the bytes); undecodable bytes are replaced, and a file that can't be read has nulls. For a root that all executors see:
+    a folder, or a URI of any store that pyarrow opens."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import hashlib
 
+        store, base = pa_fs.FileSystem.from_uri(root if "://" in root else os.path.abspath(root))
         for rows in batches:
             text, digest = [], []
             for path in rows["path"]:
                 try:
-                    with open(os.path.join(root, path), "rb") as f:
+                    with store.open_input_stream(f"{base}/{path}", compression=None) as f:
                         data = f.read()
                 except OSError:
                     text.append(None)

@@ -13,6 +13,7 @@ from fernweave.plans.config import load_config, plugin_settings
 from fernweave.plans.dag import Dag, Manifest, Phase, execute
 from fernweave.plans.enrichment import enrich_graph
 from fernweave.sources import files, graph_json, repos
+from fernweave.streaming import changes
 
 from . import fixtures
 
@@ -203,3 +204,29 @@ def test_build_stats(spark):
     row = resolve.build_stats(extract.Extractors().run(spark.createDataFrame(sources, "path string, text string"))).first()
     # names: f, g, f; the module; two by the wildcard; and one call into another file
     assert row.asDict() == {"node_count": 7, "edge_count": 4 + 2 + 1 + 2 + 3, "file_count": 3, "cross_file_edges": 3 + 1 + 2 + 1, "unresolved_imports": 1}
+
+
+def test_listing_by_rounds(spark, tmp_path):
+    root = tree(tmp_path / "r", a_dot_py="x = 1\n", d__e__b_dot_py="\xe9", d__e__f__c_dot_md="", node_modules__z_dot_py="", LICENSE="l")
+    tree(tmp_path / "r", **{"d__.hidden__q_dot_py": "h"})
+    (tmp_path / "r/d/__init__.py").write_text("i")
+    (tmp_path / "r/old.py.gz").write_bytes(b"not packed")
+    (tmp_path / "r/empty").mkdir()
+    plain, rounds = files.list_files(spark, root), files.list_files(spark, f"file://{root}")
+    rows = lambda df: sorted((r["path"], r["size"], round(r["modified"], 3)) for r in df.collect())
+    assert rows(plain) == rows(rounds) and "d/__init__.py" in {r["path"] for r in rounds.collect()}
+    read = [sorted((r["path"], r["text"], r["hash"]) for r in files.read_files(rounds, u).collect()) for u in (root, f"file://{root}")]
+    assert read[0] == read[1] and ("old.py.gz", "not packed") in {(p, t) for p, t, _ in read[0]}
+    gone = files.read_files(spark.createDataFrame([("nowhere.py",)], "path string"), root).first()
+    assert gone["text"] is None and gone["hash"] is None
+
+
+def test_change_stream_in_parts(spark, tmp_path):
+    schema = "path string, hash string, ts timestamp, seq long"
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for k in range(5):
+        spark.sql(f"select 'k{k % 2}' path, '{k}' hash, timestamp'2024-01-01' ts, {k}L seq union all select 'own{k}', '{k}', timestamp'2024-01-01', {k}L").coalesce(1).write.mode("append").parquet(source)
+        changes.keep_latest(spark.readStream.schema(schema).parquet(source), out, str(tmp_path / "cp"), whole_every=3).awaitTermination(60)
+        want = {f"own{j}": str(j) for j in range(k + 1)} | {f"k{j % 2}": str(j) for j in range(k + 1)}
+        assert {r["path"]: r["hash"] for r in changes.read_latest(spark, out, whole_every=3).collect()} == want
+    assert [spark.read.schema(schema).parquet(f"{out}/v={k}").count() for k in range(5)] == [2, 2, 2, 6, 2]
