@@ -431,12 +431,15 @@ def file_diff(spark, sf_dir):
     return diff.file_diff(old, new)
 
 
-@query("SELECT page_id, place, href, label FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href=\"([^\"]*)\"[^>]*>[^<]*</a>', 1)) AS href, unnest(regexp_extract_all(html, '<a href=\"[^\"]*\"[^>]*>([^<]*)</a>', 1)) AS label, generate_subscripts(regexp_extract_all(html, '<a href=\"([^\"]*)\"[^>]*>[^<]*</a>', 1), 1) AS place FROM pages)", graph=False)
+LINKS, HEADINGS = [x.replace("'", "''") for x in (extract.LINK, extract.HEADING)]
+
+
+@query(f"SELECT page_id, place, href, regexp_replace(label, '<[^>]*>', '', 'g') AS label FROM (SELECT page_id, unnest(regexp_extract_all(html, '{LINKS}', 1)) AS href, unnest(regexp_extract_all(html, '{LINKS}', 2)) AS label, generate_subscripts(regexp_extract_all(html, '{LINKS}', 1), 1) AS place FROM pages)", graph=False)
 def page_links(spark, sf_dir):
     return extract.page_links(load(spark, sf_dir, "pages"))
 
 
-@query("SELECT page_id, unnest(regexp_extract_all(html, '<h1[^>]*>([^<]*)</h1>', 1)) AS heading FROM pages", graph=False)
+@query(f"SELECT page_id, place, level::INT AS level, regexp_replace(heading, '<[^>]*>', '', 'g') AS heading FROM (SELECT page_id, unnest(regexp_extract_all(html, '{HEADINGS}', 1)) AS level, unnest(regexp_extract_all(html, '{HEADINGS}', 2)) AS heading, generate_subscripts(regexp_extract_all(html, '{HEADINGS}', 1), 1) AS place FROM pages)", graph=False)
 def page_sections(spark, sf_dir):
     return extract.page_sections(load(spark, sf_dir, "pages"))
 

@@ -213,16 +213,24 @@ class Extractors:
         return files.select("path", "text").mapInPandas(extract, EXTRACTION)
 
 
+LINK = r"""(?s)<a\s[^>]*?href=["']([^"']*)["'][^>]*>(.*?)</a>"""
+HEADING = r"(?s)<h([1-6])(?:\s[^>]*)?>(.*?)</h[1-6]>"
+
+
+def _inner(html: F.Column) -> F.Column:
+    return F.regexp_replace(html, r"<[^>]*>", "")
+
+
 def page_links(pages: DataFrame) -> DataFrame:
-    """The links of web pages: (page_id, place from 1, href, label)."""
-    found = F.regexp_extract_all("html", F.lit(r"<a href=\"([^\"]*)\"[^>]*>[^<]*</a>"), F.lit(1))
-    labels = F.regexp_extract_all("html", F.lit(r"<a href=\"[^\"]*\"[^>]*>([^<]*)</a>"), F.lit(1))
-    return pages.select("page_id", F.posexplode(F.arrays_zip(found.alias("href"), labels.alias("label"))).alias("at", "l")).select("page_id", (F.col("at") + 1).alias("place"), F.col("l.href").alias("href"), F.col("l.label").alias("label"))
+    """The links of web pages: (page_id, place from 1, href, label without markup)."""
+    found = F.arrays_zip(*[F.regexp_extract_all("html", F.lit(LINK), F.lit(k)).alias(n) for k, n in ((1, "href"), (2, "label"))])
+    return pages.select("page_id", F.posexplode(found).alias("at", "l")).select("page_id", (F.col("at") + 1).alias("place"), F.col("l.href").alias("href"), _inner(F.col("l.label")).alias("label"))
 
 
 def page_sections(pages: DataFrame) -> DataFrame:
-    """The headings of web pages: (page_id, heading)."""
-    return pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r"<h1[^>]*>([^<]*)</h1>"), F.lit(1))).alias("heading"))
+    """The headings of web pages, of all levels: (page_id, place from 1, level, heading without markup)."""
+    found = F.arrays_zip(*[F.regexp_extract_all("html", F.lit(HEADING), F.lit(k)).alias(n) for k, n in ((1, "level"), (2, "heading"))])
+    return pages.select("page_id", F.posexplode(found).alias("at", "h")).select("page_id", (F.col("at") + 1).alias("place"), F.col("h.level").cast("int").alias("level"), _inner(F.col("h.heading")).alias("heading"))
 
 
 def file_label(path: str = "path") -> F.Column:

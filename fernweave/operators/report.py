@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+from collections.abc import Iterator
+from html import escape
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from fernweave.graph import Graph
 from fernweave.operators import ranking
 
@@ -28,3 +36,47 @@ def markdown(g: Graph, title: str = "Graph report") -> str:
     if members:
         out += ["## Largest communities", "", *_table(["community", "nodes", "key members"], [(c, n, ", ".join(m)) for (c, n), m in members.items()])]
     return "\n".join(out)
+
+
+PAGE = """<!doctype html><meta charset="utf-8"><title>%s</title>
+<style>body{margin:0;font:14px sans-serif}#q{position:fixed;left:1em;top:1em}#n{position:fixed;left:1em;bottom:1em;background:#fffc}</style>
+<canvas id="c"></canvas><input id="q" placeholder="find"><div id="n"></div>
+"""
+SCRIPT = """<script>
+const at = new Map(nodes.map((n, i) => [n.id, i])), c = document.getElementById("c"), g = c.getContext("2d"), q = document.getElementById("q"), note = document.getElementById("n");
+nodes.sort((a, b) => (a.colour - b.colour) || (a.id < b.id ? -1 : 1)); nodes.forEach((n, i) => at.set(n.id, i));
+function draw() {
+  const w = c.width = innerWidth, h = c.height = innerHeight, r = Math.min(w, h) * 0.45, want = q.value.toLowerCase();
+  nodes.forEach((n, i) => { const a = 2 * Math.PI * i / nodes.length; n.x = w / 2 + r * Math.cos(a); n.y = h / 2 + r * Math.sin(a); n.on = !want || n.label.toLowerCase().includes(want); });
+  g.strokeStyle = "#8884"; edges.forEach(e => { const a = nodes[at.get(e.src)], b = nodes[at.get(e.dst)]; if (a && b && (a.on || b.on)) { g.beginPath(); g.moveTo(a.x, a.y); g.lineTo(b.x, b.y); g.stroke(); } });
+  nodes.forEach(n => { g.globalAlpha = n.on ? 1 : 0.15; g.fillStyle = `hsl(${n.colour * 18} 60%% 50%%)`; g.beginPath(); g.arc(n.x, n.y, n.size, 0, 7); g.fill(); }); g.globalAlpha = 1;
+}
+c.onmousemove = e => { const n = nodes.find(n => (n.x - e.x) ** 2 + (n.y - e.y) ** 2 <= n.size ** 2); note.textContent = n ? `${n.label} (${n.type}, ${n.degree} edges)` : ""; };
+q.oninput = onresize = draw; draw();
+</script>
+""".replace("%%", "%")
+
+
+def _lines(rows: DataFrame, *by: str) -> Iterator[str]:
+    """Rows as JSON that can stand in a script."""
+    for r in rows.orderBy(*by).select(F.to_json(F.struct("*")).alias("j")).toLocalIterator():
+        yield r["j"].replace("<", "\\u003c")
+
+
+def write_page(g: Graph, path: str, min_degree: int = 1, title: str = "Graph") -> None:
+    """The graph as one page on the driver's disk: its nodes of a least degree in a ring, by community, with their edges, and a field to find them.
+
+    Rows pass through the driver a partition at a time; what a browser can draw bounds min_degree from below.
+    """
+    folder = os.path.dirname(os.path.abspath(path))
+    os.makedirs(folder, exist_ok=True)
+    handle, temporary = tempfile.mkstemp(dir=folder)
+    with os.fdopen(handle, "w", encoding="utf-8") as f:
+        f.write(PAGE % escape(title))
+        for name, lines in (("nodes", _lines(ranking.page_nodes(g, min_degree), "id")), ("edges", _lines(ranking.page_edges(g, min_degree), "src", "dst", "type"))):
+            f.write(f"<script>const {name} = [\n")
+            for line in lines:
+                f.write(line + ",\n")
+            f.write("];</script>\n")
+        f.write(SCRIPT)
+    os.replace(temporary, path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -33,17 +34,17 @@ def import_candidates(module: Column, file: Column) -> Column:
     return F.array(F.concat(joined, F.lit(".py")), F.concat(joined, F.lit("/__init__.py")))
 
 
-def resolve_imports(extractions: DataFrame) -> DataFrame:
+def resolve_imports(extractions: DataFrame, candidates: Callable[[Column, Column], Column] = import_candidates) -> DataFrame:
     """Imports with the file they mean: (file_path, ord, module, names, is_wildcard, is_export, target), target null for what lies outside.
 
     The candidates are joined with the files as they are, and those without a match with every ending of the files' paths, whole segments at a time, so that a
-    package under src/ is found; the first candidate and the first file count.
+    package under src/ is found; the first candidate and the first file count. candidates(module, file) is a language's own rule: an array of paths, best first.
     """
     files = extractions.select(F.col("file_path").alias("target"))
     parts = F.split("target", "/")
     endings = files.select("target", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))).alias("candidate")).withColumn("exact", (F.col("candidate") != F.col("target")).cast("int"))
     rows = imports_of(extractions)
-    wanted = rows.select("file_path", "ord", F.posexplode(import_candidates(F.col("module"), F.col("file_path"))).alias("p", "candidate"))
+    wanted = rows.select("file_path", "ord", F.posexplode(candidates(F.col("module"), F.col("file_path"))).alias("p", "candidate"))
     best = wanted.join(endings, "candidate").groupBy("file_path", "ord").agg(F.min(F.struct("exact", "p", "target")).alias("b"))
     return rows.join(best, ["file_path", "ord"], "left").withColumn("target", F.col("b.target")).drop("b")
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from fernweave import Workspace
 from fernweave.api import TOOLS
 from fernweave.functions import text as tx
-from fernweave.operators import embed, enrich, extract, outline, resolve
+from fernweave.graph import Graph
+from fernweave.operators import embed, enrich, extract, outline, report, resolve
 from fernweave.plans.build import build
 from fernweave.plans.config import load_config, plugin_settings
 from fernweave.plans.dag import Dag, Manifest, Phase, execute
@@ -230,3 +231,30 @@ def test_change_stream_in_parts(spark, tmp_path):
         want = {f"own{j}": str(j) for j in range(k + 1)} | {f"k{j % 2}": str(j) for j in range(k + 1)}
         assert {r["path"]: r["hash"] for r in changes.read_latest(spark, out, whole_every=3).collect()} == want
     assert [spark.read.schema(schema).parquet(f"{out}/v={k}").count() for k in range(5)] == [2, 2, 2, 6, 2]
+
+
+def test_page(spark, tmp_path):
+    g = graph_json.read_graph(spark, fixtures.as_json(tmp_path / "g.json"), guarded=True)
+    g = Graph(g.nodes.withColumn("label", F.when(F.col("id") == "fn:open_db", F.lit("</script><b>")).otherwise(F.col("label"))), g.edges)
+    path = tmp_path / "out/page.html"
+    report.write_page(g, str(path), min_degree=2, title="A & B")
+    text = path.read_text()
+    assert "<title>A &amp; B</title>" in text and text.count("</script>") == 3 and "<b>" not in text
+    held = [json.loads("[" + part.split("];")[0].rstrip().rstrip(",") + "]") for part in text.split(" = [\n")[1:3]]
+    degree = {i: sum(i in e[:2] for e in fixtures.EDGES) for i, *_ in fixtures.NODES}
+    assert {n["id"] for n in held[0]} == {i for i, d in degree.items() if d >= 2}
+    assert {(e["src"], e["dst"], e["type"]) for e in held[1]} == {e for e in fixtures.EDGES if degree[e[0]] >= 2 and degree[e[1]] >= 2}
+
+
+def test_pages_of_any_markup(spark):
+    html = "<h1 class='x'>One <b>two</b></h1><p><a class='k' href='u'>go <i>on</i></a></p><H2>no</H2><h3>\nThree</h3><header>no</header><abbr href='n'>no</abbr><a href=\"v\"></a>"
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "")], "page_id long, html string")
+    assert [tuple(r) for r in extract.page_links(pages).orderBy("place").collect()] == [(1, 1, "u", "go on"), (1, 2, "v", "")]
+    assert [tuple(r) for r in extract.page_sections(pages).orderBy("place").collect()] == [(1, 1, 1, "One two"), (1, 2, 3, "\nThree")]
+
+
+def test_own_import_rule(spark):
+    rows = extract.Extractors().run(spark.createDataFrame([("lib/x.py", "y = 1\n"), ("a.py", "import x\n")], "path string, text string"))
+    own = resolve.resolve_imports(rows, lambda module, file: F.array(F.concat(F.lit("lib/"), module, F.lit(".py"))))
+    assert own.first()["target"] == "lib/x.py"
+    assert enrich.ask(spark.createDataFrame([(str(k), "p") for k in range(9)], "id string, prompt string"), lambda p: "a", at_once=2).rdd.getNumPartitions() <= 2
