@@ -175,14 +175,15 @@ def links(distinct: DataFrame, distance: int = DISTANCE, block: int = BLOCK) ->
     """(a, b): links that connect the different fingerprints of distinct just as all pairs at that distance or less would.
 
     Fingerprints meet in the buckets of their chain keys. A bucket is compared whole; a large one in blocks, every two of them in a task of their own, so no
-    task holds more than two blocks, and no pairs are emitted but links. distance is at most 4, for which the keys are made.
+    task holds more than two blocks, and no pairs are emitted but links. distance is at most 4, for which the keys are made. Spark takes the exploded keys
+    for no larger than the fingerprints' file, so the join is never left to its choice: a broadcast of them would fill the driver.
     """
     if distance > DISTANCE:
         raise ValueError(f"the chain keys hold for distances to {DISTANCE}")
     rows = distinct.select("fingerprint", F.explode(chain_keys(F.col("fingerprint"))).alias("key"))
-    shared = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stored(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared-keys")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    met = rows.join(shared, "key").withColumn("x", F.pmod(F.xxhash64("fingerprint"), blocks).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    met = rows.join(shared.hint("merge"), "key").withColumn("x", F.pmod(F.xxhash64("fingerprint"), blocks).cast("int")).withColumn("y", F.explode(F.sequence(F.lit(0), blocks - 1)))
     met = met.select("key", F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "fingerprint")
     met = met.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
 
@@ -217,10 +218,10 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     prints = stored(fingerprints(docs), "fingerprints")
     distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct, distance))
-    labelled = distinct.join(roots, distinct["fingerprint"] == roots["node"], "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+    labelled = distinct.join(roots.hint("merge"), distinct["fingerprint"] == roots["node"], "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
     smallest = stored(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")  # so that a large component's rows can be split in the join
-    own = labelled.join(smallest, "root").select("fingerprint", "component_id", "root")
-    return prints.join(own, "fingerprint").select("doc_id", "text_hash", "fingerprint", "component_id", "root")
+    own = labelled.join(smallest.hint("merge"), "root").select("fingerprint", "component_id", "root")
+    return prints.join(own.hint("merge"), "fingerprint").select("doc_id", "text_hash", "fingerprint", "component_id", "root")
 
 
 def token_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -121,6 +121,26 @@ def test_near_duplicates(docs, empty):
     assert simhash.one_of_each(empty).count() == 0
 
 
+def test_no_table_that_grows_is_broadcast(spark, docs, monkeypatch):
+    from fernweave.operators import components as stars
+    from fernweave.storage import stored
+
+    plans = []
+
+    def noted(df, *a):
+        plans.append(df._jdf.queryExecution().sparkPlan().toString())
+        return stored(df, *a)
+
+    for module in (simhash, stars):
+        monkeypatch.setattr(module, "stored", noted)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").removesuffix("b")) >= 10 << 20
+    noted(simhash.near_duplicates(docs), "out")
+    distinct = spark.createDataFrame([(i,) for i in range(9)], "fingerprint long")
+    noted(simhash.links(distinct), "out")
+    assert sum("SortMergeJoin" in p for p in plans) > 4
+    assert not [p for p in plans if "Broadcast" in p]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 50)] + [(7, 7), (None, 3), (200, None)]
     out = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
