@@ -15,8 +15,8 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies."""
-    return simhash.one_of_each(docs)
+    """Keeps one document of each group of near copies, by SimHash with the pigeonring filter and by the similarity of shingle sets."""
+    return simhash.one_of_each_by_simhash(docs)
 
 
 def passage_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

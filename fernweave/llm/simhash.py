@@ -21,7 +21,7 @@ LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
 SEGMENTS = (13, 13, 13, 13, 12)
 #: A bucket of more fingerprints is compared in blocks of this many.
 BLOCK = 2048
-#: one_of_each(), which op10's contract does not bind: words of a shingle; keys of a set and the smallest hashes in each; equal bytes of two sketches at least
+#: near_copies(), which op10's contract does not bind: words of a shingle; keys of a set and the smallest hashes in each; equal bytes of two sketches at least
 #: (of 96; at a similarity of 0.8 fewer have a chance of 1 in a million); the shingles of a block of sets.
 COPY_SHINGLE = 5
 BANDS, BAND = 24, 4
@@ -365,7 +365,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     one = rows.where("set <> 0").groupBy("set").agg(F.min("bands").alias("bands"))
     keys = one.select("set", F.explode("bands").alias("grp"))
     shared = keys.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
-    met = stored(keys.join(shared, "grp"), "shared-bands")
+    met = stored(keys.join(shared.hint("merge"), "grp"), "shared-bands")
     sketches = stored(rows.join(met.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min("sketch").alias("data")), "sketches")
     coarse = stored(components(block_links(met.join(sketches, "set"), like_sketches, F.lit(1), BLOCK)), "coarse")
     members = coarse.select(F.col("node").alias("set"), F.col("root").alias("grp")).unionAll(coarse.select(F.col("root").alias("set"), F.col("root").alias("grp")).distinct())
@@ -388,12 +388,28 @@ def near_copies(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row for each component of near copies: that of its smallest doc_id (a null one only if there is no other), of several such the one of the smallest text_hash."""
-    found = near_copies(docs)
+    return kept_of(docs, near_copies(docs))
+
+
+def one_of_each_by_simhash(docs: DataFrame) -> DataFrame:
+    """docs with one row, as one_of_each() takes it, for each component of links by SimHash, found by the pigeonring filter, or by a Jaccard similarity of 0.8.
+
+    Fingerprints at that similarity differ in some 10 bits, so their links alone would leave near copies; a component of either kind joins those of the other.
+    """
+    prints = near_duplicates(docs).select("doc_id", "text_hash", F.xxhash64(F.lit("fingerprint"), "root").alias("a"))
+    sets = near_copies(docs).select("doc_id", "text_hash", F.xxhash64(F.lit("set"), "root").alias("b"))
+    rows = stored(prints.unionByName(sets, allowMissingColumns=True).groupBy("doc_id", "text_hash").agg(F.min("a").alias("a"), F.min("b").alias("b")), "both-roots")
+    roots = components(rows.select("a", "b").distinct())
+    return kept_of(docs, rows.join(roots.hint("merge"), F.col("a") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("root", "a").alias("root")))
+
+
+def kept_of(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs with one row for each root of found (doc_id, text_hash, root)."""
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("kept"))
     kept = first.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.text_hash").alias("kept_hash"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), text_hash().alias("hash"))
     same = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("hash") == F.col("kept_hash"))
-    return rows.join(kept, same, "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
+    return rows.join(kept.hint("merge"), same, "left_semi").dropDuplicates(["id", "hash"]).select("row.*")
 
 
 def hexadecimal(value: Column) -> Column:

@@ -1,6 +1,7 @@
 import random
 
 import corpus_pipeline
+from fernweave.llm import simhash
 
 
 def test_stages_take_effect(spark, tmp_path):
@@ -47,3 +48,18 @@ def test_stages_take_awkward_and_empty_tables(spark, docs, empty, tmp_path):
         if name != "packing":
             assert got.columns == docs.columns and none.columns == empty.columns, name
         assert got.count() > 0, name
+
+
+def test_near_dedup_links_by_fingerprints_and_by_sets(spark):
+    """A pair that fingerprints alone link (they ignore how often a frequent shingle stands), one that sets alone link, and one of neither."""
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    base, few = [word() for _ in range(7)], [[word() for _ in range(12)] for _ in range(2)]
+    rows = [(1, " ".join(base * 60 + few[0])), (2, " ".join(base * 60 + few[1]))]
+    words = [word() for _ in range(150)]
+    rows += [(3, " ".join(words)), (4, " ".join(["x1" if i in (40, 80, 120) else w for i, w in enumerate(words)])), (5, " ".join(word() for _ in range(150)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    root = lambda found: {r["doc_id"]: r["root"] for r in found.collect()}
+    prints, sets = root(simhash.near_duplicates(docs)), root(simhash.near_copies(docs))
+    assert prints[1] == prints[2] and prints[3] != prints[4] and sets[1] != sets[2] and sets[3] == sets[4]
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {1, 3, 5}
