@@ -41,63 +41,121 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(x, lambda v: v != 0)
 
 
+def products(x: np.ndarray, rows: np.ndarray, q: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The inner product of x[rows[i]] and q[own[i]] for each i, some at a time, so that the gathered vectors stay in the processor's cache."""
+    out = np.empty(len(rows), np.float32)
+    step = max(64, (1 << 18) // (4 * x.shape[1]))
+    left, right = (np.empty((min(step, len(rows)), x.shape[1]), np.float32) for _ in range(2))
+    for a in range(0, len(rows), step):
+        k = min(step, len(rows) - a)
+        np.take(x, rows[a : a + k], 0, out=left[:k], mode="clip")
+        np.take(q, own[a : a + k], 0, out=right[:k], mode="clip")
+        np.einsum("ij,ij->i", left[:k], right[:k], out=out[a : a + k])
+    return out
+
+
+def products_of(x: np.ndarray, rows: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """The inner products of q[i] and x[rows[i, j]]; -inf where rows is negative."""
+    score = np.full(rows.shape, -np.inf, np.float32)
+    r, c = np.nonzero(rows >= 0)
+    score[r, c] = products(x, rows[r, c], q, r)
+    return score
+
+
 def prune(block: np.ndarray, candidates: np.ndarray, x: np.ndarray, keep: int) -> np.ndarray:
     """Of each node's candidates (nearest first; -1: none) those nearer to the node than to any candidate kept before, keep at most; -1 fills up."""
-    c = x[np.maximum(candidates, 0)]
-    to_node = ((c - x[block][:, None]) ** 2).sum(2)
-    to_node[candidates < 0] = np.inf
-    sq = (c * c).sum(2)
-    between = sq[:, :, None] + sq[:, None, :] - 2 * (c @ c.transpose(0, 2, 1))
-    chosen = np.zeros(candidates.shape, bool)
-    near = np.full(candidates.shape, np.inf)  # to the nearest candidate kept
-    for k in range(candidates.shape[1]):
-        take = np.isfinite(to_node[:, k]) & (to_node[:, k] <= near[:, k]) & (chosen.sum(1) < keep)
-        chosen[:, k] = take
-        near = np.where(take[:, None], np.minimum(near, between[:, :, k]), near)
-    # room that is left goes to the nearest of the others
-    order = np.argsort(~chosen, axis=1, kind="stable")[:, :keep]
-    return np.take_along_axis(candidates, order, 1)
+    out = []
+    for a in range(0, len(block), 64):  # few at a time: all candidates of a node are compared with each other
+        own = candidates[a : a + 64]
+        c = x.take(np.maximum(own, 0), 0)
+        to_node = c - x[block[a : a + 64]][:, None]
+        to_node = np.einsum("ijk,ijk->ij", to_node, to_node)
+        to_node[own < 0] = np.inf
+        sq = np.einsum("ijk,ijk->ij", c, c)
+        between = c @ c.transpose(0, 2, 1)
+        between *= -2
+        between += sq[:, :, None]
+        between += sq[:, None, :]
+        chosen = np.zeros(own.shape, bool)
+        near = np.full(own.shape, np.inf, np.float32)  # to the nearest candidate kept
+        room = np.full(len(own), keep)
+        for k in range(own.shape[1]):
+            take = np.flatnonzero((to_node[:, k] <= near[:, k]) & (to_node[:, k] < np.inf) & (room > 0))
+            chosen[take, k] = True
+            room[take] -= 1
+            near[take] = np.minimum(near[take], between[take, k])
+        # room that is left goes to the nearest of the others
+        order = np.argsort(~chosen, axis=1, kind="stable")[:, :keep]
+        out.append(np.take_along_axis(own, order, 1))
+    return np.concatenate(out) if out else candidates[:, :keep]
+
+
+#: A place of a beam that holds no row: after all others, and not open.
+NONE = np.int64(np.iinfo(np.int64).max - 1)
+
+
+def packed(rows: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """A number for each row and its score (float32) that sorts the best first; its lowest bit, set here, says that the row is open (not expanded yet)."""
+    bits = np.ascontiguousarray(scores, np.float32).view(np.int32)
+    falling = ~(bits ^ ((bits >> 31) & np.int32(0x7FFFFFFF)))
+    return (falling.astype(np.int64) << 32) | (rows.astype(np.int64) << 1) | 1
+
+
+def unpacked(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, scores) of packed(); -1 and -inf where there is NONE."""
+    bits = ~(keys >> 32).astype(np.int32)
+    scores = (bits ^ ((bits >> 31) & np.int32(0x7FFFFFFF))).view(np.float32)
+    none = keys == NONE
+    return np.where(none, -1, (keys & 0xFFFFFFFF) >> 1), np.where(none, np.float32(-np.inf), scores)
 
 
 def beam_search(x: np.ndarray, place: np.ndarray, links: np.ndarray, q: np.ndarray, rows: np.ndarray, scores: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows of x, inner products; beam of them, in no order; -1 and -inf fill up): the best that a beam finds on a level for each of q, from rows on.
+    """(rows of x, inner products; beam of them, best first; -1 and -inf fill up): the best that a beam finds on a level for each of q, from rows on.
 
     place[r] is row r's place in links, whose values are rows of x. All queries go on at once; a step expands the EXPAND best of each that are not expanded yet.
+    Beams are sorted numbers of packed(), and only what is better than a full beam's last goes into it, so a step costs little more than the rows it scores.
     """
     n, m = len(x), len(q)
     width = max(beam, rows.shape[1])
-    ids = np.full((m, width), -1, np.int64)
-    best = np.full((m, width), -np.inf, np.float32)
-    ids[:, : rows.shape[1]], best[:, : rows.shape[1]] = rows, np.where(rows >= 0, scores, -np.inf)
-    seen = np.zeros((m, n), bool)
-    seen[np.repeat(np.arange(m), rows.shape[1])[(rows >= 0).ravel()], rows[rows >= 0]] = True
-    done = ids < 0
+    keys = np.full((m, width), NONE)
+    keys[:, : rows.shape[1]] = np.where(rows >= 0, packed(rows, np.where(rows >= 0, scores, -np.inf)), NONE)
+    keys.sort(1)
+    seen = np.zeros(m * (n + 1), bool)  # a query's n rows, and one that stands for no link
+    seen[n :: n + 1] = True
+    base = np.arange(m) * (n + 1)
+    seen[(base[:, None] + rows)[rows >= 0]] = True
+    out = keys.copy()
     live = np.arange(m)
     while len(live):
-        open_ = np.where(done[live], -np.inf, best[live])
-        k = min(EXPAND, width)
-        pick = np.argpartition(-open_, k - 1, 1)[:, :k]
-        valid = np.isfinite(np.take_along_axis(open_, pick, 1))
-        some = valid.any(1)
-        live, pick, valid = live[some], pick[some], valid[some]
-        if not len(live):
-            break
-        chosen = np.where(valid, ids[live[:, None], pick], -1)
-        done[live[:, None], pick] = True
-        near = np.where((chosen >= 0)[:, :, None], links[place[np.maximum(chosen, 0)]], -1).reshape(len(live), -1).astype(np.int64)
-        near = np.sort(near, 1)
-        near[:, 1:][near[:, 1:] == near[:, :-1]] = -1
-        near[seen[live[:, None], np.maximum(near, 0)]] = -1
-        r, c = np.nonzero(near >= 0)
-        seen[live[r], near[r, c]] = True
-        score = np.full(near.shape, -np.inf, np.float32)
-        score[r, c] = np.einsum("ij,ij->i", x[near[r, c]], q[live[r]])
-        all_ids = np.concatenate([ids[live], near], 1)
-        all_best = np.concatenate([best[live], score], 1)
-        all_done = np.concatenate([done[live], near < 0], 1)
-        keep = np.argpartition(-all_best, width - 1, 1)[:, :width]
-        ids[live], best[live], done[live] = (np.take_along_axis(z, keep, 1) for z in (all_ids, all_best, all_done))
-    return ids, best
+        open_ = (keys & 1).astype(bool)
+        some = open_.any(1)
+        if not some.all():
+            out[live[~some]] = keys[~some]
+            live, keys, open_ = live[some], keys[some], open_[some]
+            if not len(live):
+                break
+        r, c = np.nonzero(open_ & (np.cumsum(open_, 1, dtype=np.int32) <= EXPAND))
+        chosen = keys[r, c]
+        keys[r, c] = chosen - 1
+        near = links[place[(chosen & 0xFFFFFFFF) >> 1]]
+        at = (base[live[r]][:, None] + np.where(near < 0, n, near)).ravel()
+        at = np.sort(at[~seen[at]])
+        if not len(at):
+            continue
+        at = at[np.append(True, at[1:] != at[:-1])]
+        seen[at] = True
+        own, row = np.divmod(at, n + 1)
+        score = products(x, row, q, own)
+        new, own = packed(row, score), np.searchsorted(live, own)
+        good = new < keys[own, -1]
+        new, own = new[good], own[good]
+        if not len(new):
+            continue
+        count = np.bincount(own, minlength=len(live))
+        more = np.full((len(live), int(count.max())), NONE)
+        more[own, np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)] = new
+        keys = np.sort(np.concatenate([keys, more], 1), 1)[:, :width]
+    return unpacked(out)
 
 
 def nearest_first(ids: np.ndarray, score: np.ndarray, most: int) -> np.ndarray:
@@ -132,8 +190,7 @@ class Level:
         candidates = mates
         if entry is not None:
             found, best = self.search(q, entry, BUILD_BEAM)
-            mate_score = np.where(mates >= 0, np.einsum("ijk,ik->ij", self.x[np.maximum(mates, 0)], q), -np.inf)
-            candidates = nearest_first(np.concatenate([found, mates], 1), np.concatenate([best, mate_score], 1), BUILD_BEAM)
+            candidates = nearest_first(np.concatenate([found, mates], 1), np.concatenate([best, products_of(self.x, mates, q)], 1), BUILD_BEAM)
         chosen = prune(batch, candidates, self.x, self.keep)
         self.links[self.place[batch], : chosen.shape[1]] = chosen
         source, target = np.repeat(batch, chosen.shape[1]), chosen.ravel().astype(np.int64)
@@ -145,7 +202,7 @@ class Level:
         source, target = source[~known], target[~known]
         if not len(source):
             return
-        score = np.einsum("ij,ij->i", self.x[source], self.x[target])
+        score = products(self.x, source, self.x, target)
         order = np.lexsort((-score, target))
         source, target = source[order], target[order]
         rank = np.arange(len(target)) - np.searchsorted(target, target)
@@ -158,7 +215,7 @@ class Level:
             new[at[mine] - a, rank[mine]] = source[mine]
             old = self.links[self.place[part], : self.width].astype(np.int64)
             both = np.concatenate([old, new], 1)
-            score = np.where(both >= 0, np.einsum("ijk,ik->ij", self.x[np.maximum(both, 0)], self.x[part]), -np.inf)
+            score = products_of(self.x, both, self.x[part])
             held = int((both >= 0).sum(1).max())
             both = nearest_first(both, score, held)
             full = (both >= 0).sum(1) > self.width
@@ -272,8 +329,7 @@ class Graph:
         scores = np.einsum("ijk,ik->ij", self.x[rows], q)
         for at in range(len(self.nodes) - 1, -1, -1):
             rows, scores = beam_search(self.x, self.places[at], self.links[at], q, rows, scores, UPPER_BEAM if at and len(self.nodes[at]) > 2 * beam else beam)
-        order = np.argsort(-scores, 1, kind="stable")
-        return np.take_along_axis(rows, order, 1)
+        return rows
 
     HEAD = struct.Struct("<QIII")
 
