@@ -219,8 +219,9 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     distinct = stored(prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first")), "distinct")
     roots = components(links(distinct, distance))
     labelled = distinct.join(roots.hint("merge"), distinct["fingerprint"] == roots["node"], "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root"))
+    labelled = stored(labelled, "labelled-prints")  # read twice
     smallest = stored(labelled.groupBy("root").agg(F.min("first").alias("component_id")), "smallest")  # so that a large component's rows can be split in the join
-    own = labelled.join(smallest.hint("merge"), "root").select("fingerprint", "component_id", "root")
+    own = stored(labelled.join(smallest.hint("merge"), "root").select("fingerprint", "component_id", "root"), "own")  # all rows are then joined with one table
     return prints.join(own.hint("merge"), "fingerprint").select("doc_id", "text_hash", "fingerprint", "component_id", "root")
 
 
@@ -367,7 +368,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
     shared = keys.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("grp")
     met = stored(keys.join(shared.hint("merge"), "grp"), "shared-bands")
     sketches = stored(rows.join(met.select("set").distinct(), "set", "left_semi").groupBy("set").agg(F.min("sketch").alias("data")), "sketches")
-    coarse = stored(components(block_links(met.join(sketches, "set"), like_sketches, F.lit(1), BLOCK)), "coarse")
+    coarse = components(block_links(met.join(sketches, "set"), like_sketches, F.lit(1), BLOCK))
     members = coarse.select(F.col("node").alias("set"), F.col("root").alias("grp")).unionAll(coarse.select(F.col("root").alias("set"), F.col("root").alias("grp")).distinct())
     wanted = stored(members.join(distinct, "set").select("set", "grp", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("_text")), "candidates")
     source = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.col("text").cast("string").alias("text"), text_hash().alias("_hash"))
@@ -382,7 +383,7 @@ def near_copies(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(part)), data, batch.column(2).slice(row, len(part))], names=["set", "data", "grp"])
 
     sets = stored(map_arrow(texts, shingled, "set long, data binary, grp long").dropDuplicates(["set"]), "candidate-sets")
-    roots = stored(components(block_links(sets.select("grp", "set", "data"), like_sets, F.length("data") / F.lit(8), SET_BLOCK)), "copy-roots")
+    roots = components(block_links(sets.select("grp", "set", "data"), like_sets, F.length("data") / F.lit(8), SET_BLOCK))
     return rows.select("doc_id", "text_hash", "set").join(roots, F.col("set") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("root", "set").alias("root"))
 
 

@@ -148,6 +148,27 @@ def test_components_of_chains_and_stars(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_few_links_need_no_rounds_and_more_give_the_same(spark, monkeypatch):
+    """A chain over many partitions, a tree and a clique, in links of either direction: by one task, by rounds, and by a plain version."""
+    from fernweave.operators import components as stars
+    from fernweave.storage import stored
+
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(-200, 200)] + [(1000 + i, 1000 + i // 2) for i in range(2, 300)] + [(a, b) for a in range(5000, 5012) for b in range(5000, a)]
+    edges = [rng.choice([(a, b), (b, a)]) for a, b in edges]
+    rng.shuffle(edges)
+    want = {i: -200 for i in range(-199, 201)} | {1000 + i: 1001 for i in range(2, 300)} | {i: 5000 for i in range(5001, 5012)}
+    written = []
+    monkeypatch.setattr(stars, "stored", lambda df, *a: written.append(a[0]) or stored(df, *a))
+    links = spark.createDataFrame(edges, "a long, b long").repartition(9)
+    for alone, rounds in ((10_000, 0), (0, 1)):
+        written.clear()
+        assert {r["node"]: r["root"] for r in components(links, alone).collect()} == want
+        assert ("stars" in written) == bool(rounds)
+    written.clear()
+    assert {r["node"]: r["root"] for r in components(links).collect()} == want and written == ["links"]
+
+
 def prose(rng, n):
     return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(n)).capitalize() + "."
 
